@@ -106,4 +106,4 @@ def millis_to_iso(ms: Column) -> Column:
 
 
 def duration_seconds(start_ms: Column, end_ms: Column) -> Column:
-    return F.round((end_ms - start_ms) / F.lit(1000.0), 2)
+    return (end_ms - start_ms) / F.lit(1000.0)

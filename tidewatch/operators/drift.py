@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions.names import c, shared_columns
@@ -162,7 +163,7 @@ def _one_sample(d: float, n: int) -> float:
     return float(min(1.0, max(0.0, 1.0 - math.exp(log_cdf))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_pvalue_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """p-values for the one-row-per-feature table; NULL where the KS test is not chosen."""
     for d, n, m in batches:
