@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution
 from tidewatch.operators.sampling import train_test_split
-from tidewatch.operators.scaling import Parameters, fit_fills, fit_scaler
+from tidewatch.operators.scaling import Parameters, apply_scaler, fit_fills, fit_scaler
 from tidewatch.plans import analysis, training
+from tidewatch.session import shared_dir
+from tidewatch.sources import sinks
 
 from . import fixtures as fx
 
@@ -26,12 +28,19 @@ def register(name, fn):
     QUERIES[name] = fn
 
 
+def _stored(ready):
+    """Prepared tables are written before a fit, which reads its input many times."""
+    path = shared_dir(ready.sparkSession, "prepared")
+    sinks.write_splits(ready, path)
+    return ready.sparkSession.read.parquet(path)
+
+
 def embedded(spark, sf):
     """The embedding table as 64 named features and ten classes, split by class."""
     rows = fx.table(spark, sf, "embeddings").select(
         "vec_id", F.col("label").alias("label_int"), F.concat(F.lit("group "), F.col("label").cast("string")).alias("label_class"),
         *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(EMBEDDED)])
-    return train_test_split(rows, "label_class", ["vec_id"], strata=len(LABELS))
+    return _stored(train_test_split(rows, "label_class", ["vec_id"], strata=len(LABELS)))
 
 
 def flow_rows(spark, sf):
@@ -40,7 +49,7 @@ def flow_rows(spark, sf):
         "event_id", "label_class", F.col("class_id").alias("label_int"), "truth", F.col("value").alias("Flow Bytes/s"),
         (F.col("event_id") % 17).cast("double").alias("Idle.Mean"), F.col("user_id").cast("double").alias("Subflow Fwd"),
         (F.col("value") + F.col("class_id") * 40).alias("Active Std"), (F.col("class_id") * F.col("event_id") % 5).cast("double").alias("Fwd Seg"))
-    return train_test_split(rows, "label_class", ["event_id"], strata=8)
+    return _stored(train_test_split(rows, "label_class", ["event_id"], strata=8))
 
 
 def _sides(rows):
@@ -72,7 +81,7 @@ register("feature_ranking", feature_ranking)
 
 
 def feature_set_comparison(spark, sf):
-    train, test = (x.persist() for x in _sides(flow_rows(spark, sf)))
+    train, test = _sides(flow_rows(spark, sf))
     scores = training.importances(training.fit_forest(train, FLOW_FEATURES, trees=10, depth=6))
     sets = training.feature_sets(FLOW_FEATURES[:4], scores[:4], FLOW_FEATURES, ks=(2, 3))
     out = training.feature_experiment(train, test, sets, fx.config.CLASS_IDS, "random_forest", trees=10, depth=6)
@@ -84,7 +93,7 @@ register("feature_set_comparison", feature_set_comparison)
 
 def governed_sweep(spark, sf):
     """Three small configurations, gated one after the other."""
-    train, test = (x.persist() for x in _sides(flow_rows(spark, sf)))
+    train, test = _sides(flow_rows(spark, sf))
     configs = [
         {"name": "forest_small", "kind": "random_forest", "features": "full", "args": {"trees": 5, "depth": 4}},
         {"name": "forest_deep", "kind": "random_forest", "features": "full", "args": {"trees": 20, "depth": 10}},
@@ -101,9 +110,9 @@ register("governed_sweep", governed_sweep)
 
 def tree_attributions(spark, sf):
     """Base plus contributions next to the model's own probability, for every row."""
-    train, _ = _sides(flow_rows(spark, sf))
-    model = training.fit_forest(train, FLOW_FEATURES, trees=10, depth=6)
-    scored = training.score(flow_rows(spark, sf), model, FLOW_FEATURES)
+    rows = flow_rows(spark, sf)
+    model = training.fit_forest(rows.where("split = 'train'"), FLOW_FEATURES, trees=10, depth=6)
+    scored = training.score(rows, model, FLOW_FEATURES)
     k = F.array_position(F.array(*[F.lit(n) for n in fx.config.CLASSES]), F.col("prediction")) - 1
     parts = attribution.tree_contributions(scored.withColumn("predicted_id", k), model, FLOW_FEATURES, "event_id", 8)
     total = F.col("base") + F.aggregate("contribution", F.lit(0.0), lambda a, x: a + x)
@@ -126,14 +135,13 @@ register("attribution_summary", attribution_summary)
 
 def export_analysis(spark, sf):
     """Train, then analyse the whole feed as an export under odd header spellings."""
-    train, _ = _sides(flow_rows(spark, sf))
+    rows = flow_rows(spark, sf)
+    train, _ = _sides(rows)
     fills = fit_fills(train, FLOW_FEATURES)
     center, scale = fit_scaler(train, FLOW_FEATURES)
     params = Parameters(FLOW_FEATURES, fills, center, scale)
-    from tidewatch.operators.scaling import apply_scaler
-
     model = training.fit_forest(apply_scaler(train, params), FLOW_FEATURES, trees=10, depth=6)
-    export = flow_rows(spark, sf).select(
+    export = rows.select(
         F.col("event_id").alias("flow_id"), F.col("`Flow Bytes/s`").alias("flow_bytes_s"), F.col("`Idle.Mean`").cast("string").alias("IDLE-MEAN"),
         F.col("`Subflow Fwd`").alias(" Subflow Fwd "), F.col("`Active Std`").alias("active std"), F.col("truth").alias("Label"))
     found = analysis.analyze(export, model, params, classes=fx.config.CLASS_IDS)

@@ -30,12 +30,13 @@ def canonical_key_expr(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), "[^a-z0-9]", "")
 
 
-def resolve_headers(headers: Sequence[str], features: Sequence[str] = ()) -> list[str]:
+def resolve_headers(headers: Sequence[str], features: Sequence[str] = (), keep: Sequence[str] = ()) -> list[str]:
     """Canonical name for each header, in the given order.
 
     An exact alias is taken first, then an exact feature name, then the
     canonical key, where features take precedence over alias spellings, and
-    those over alias targets. A header that matches nothing keeps its own name.
+    those over alias targets. A header that matches nothing keeps its own name, and so
+    do the ``keep`` columns.
     """
     by_key = {canonical_key(target): target for target in config.HEADER_ALIASES.values()}
     by_key |= {canonical_key(alias): target for alias, target in config.HEADER_ALIASES.items()}
@@ -44,6 +45,8 @@ def resolve_headers(headers: Sequence[str], features: Sequence[str] = ()) -> lis
 
     def one(header: str) -> str:
         name = header.strip()
+        if header in keep:
+            return header
         if name in config.HEADER_ALIASES:
             return config.HEADER_ALIASES[name]
         return name if name in wanted else by_key.get(canonical_key(name), name)
@@ -51,9 +54,9 @@ def resolve_headers(headers: Sequence[str], features: Sequence[str] = ()) -> lis
     return [one(h) for h in headers]
 
 
-def normalize_columns(df: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+def normalize_columns(df: DataFrame, features: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Rename to canonical names and keep the first of any columns that collide."""
-    names = resolve_headers(df.columns, features)
+    names = resolve_headers(df.columns, features, keep)
     positional = df.toDF(*[f"_c{i}" for i in range(len(names))])
     first_at = {n: i for i, n in reversed(list(enumerate(names)))}
     keep = sorted(first_at.items(), key=lambda item: item[1])

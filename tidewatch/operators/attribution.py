@@ -30,7 +30,7 @@ def _saved_nodes(spark: SparkSession, model, kind: str) -> pd.DataFrame:
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), node["id"].alias("id"), node["leftChild"].alias("left"),
         node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
-        node["split"]["leftCategoriesOrThreshold"].getItem(0).alias("threshold"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         (node["impurityStats"] if kind == "votes" else F.array(node["prediction"])).alias("value"),
     )
     count = nodes.count()

@@ -21,7 +21,7 @@ def score_export(
 ) -> DataFrame:
     """Verdict per flow: row id, scaled features, repairs, probabilities, truth if any."""
     names = sorted(classes, key=classes.get)
-    table = normalize_columns(export, params.features)
+    table = normalize_columns(export, params.features, [row])
     keep = [row]
     if label_column(table) is not None:
         table = resolve_truth(extract_labels(table, "truth_raw"), "truth_raw")
@@ -54,7 +54,7 @@ def analyze(
         raise ValueError("the export has no data rows")
     if scored_rows is not None:
         export = scoring.first_rows(export, row, scored_rows)
-    normalized = normalize_columns(export, params.features)
+    normalized = normalize_columns(export, params.features, [row])
     scored = score_export(export, model, params, row, classes).persist()
     shown = scoring.first_rows(scored, row, min(returned, explained))
     k = F.array_position(F.array(*[F.lit(n) for n in sorted(classes, key=classes.get)]), F.col("prediction")) - 1
