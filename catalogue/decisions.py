@@ -262,7 +262,7 @@ def _detected(spark, sf, **kw):
 register(
     "drift_ecdf",
     lambda s, d: drift.two_sample_ecdf(*fx.drift_sides(s, d), _F),
-    sql(_SIDES, "SELECT * FROM curve", _curve),
+    sql(_SIDES, "SELECT r.pos, v.value, v.n_ref, v.n_cur, v.cum_ref, v.cum_cur, v.next_value FROM curve v JOIN nr r USING (feature)", _curve),
 )
 register(
     "drift_distances",

@@ -25,40 +25,61 @@ from .prefix import prefix_sums
 from .quality import wide_to_long
 
 BUCKETS = 64
+# Rows looked at when the borders of the value buckets are chosen.
+BORDER_ROWS = 200_000
 EXACT_LIMIT = 10_000
 
 
 def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), finite(c(f)).alias("value")) for f in features])
+    pairs = F.array(*[F.struct(F.lit(i).alias("pos"), finite(c(f)).alias("value")) for i, f in enumerate(features)])
     ref = side == "ref"
     return df.select(F.inline(pairs)).where("value IS NOT NULL").select(
-        "feature", "value", F.lit(int(ref)).cast("long").alias("n_ref"), F.lit(int(not ref)).cast("long").alias("n_cur")
+        "pos", "value", F.lit(int(ref)).cast("long").alias("n_ref"), F.lit(int(not ref)).cast("long").alias("n_cur")
     )
 
 
 def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, n_ref, n_cur) over the distinct finite values of both sides."""
+    """(pos, value, n_ref, n_cur) over the distinct finite values of both sides.
+
+    Features go by position: a short key through every shuffle.
+    """
     both = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
-    return both.groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    return both.groupBy("pos", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
 
-def two_sample_ecdf(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS
+def value_ranges(
+    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS, rows: int | None = None
 ) -> DataFrame:
-    """Cumulative counts of both sides at each distinct value, and the next value.
+    """(pos, bucket, lo, hi): half-open value ranges that cover the real line.
 
-    Bucket borders are approximate quantiles of the distinct values. They only
-    balance the work; the sums are exact for any borders.
+    The borders are read once, from a row sample, and come back as constants, so
+    every use of them sees the same ones. They only balance the work: results are
+    exact for any borders.
     """
-    values = value_counts(reference, current, features)
+    part = lambda df: df.select(*[finite(c(f)).alias(f"v{i}") for i, f in enumerate(features)])
+    both = part(reference).unionByName(part(current))
+    rows = both.count() if rows is None else rows
+    if rows > BORDER_ROWS:
+        both = both.sample(fraction=BORDER_ROWS / rows, seed=config.SEED)
     grid = [i / buckets for i in range(1, buckets)]
-    borders = values.groupBy("feature").agg(F.percentile_approx("value", grid, 10 * buckets).alias("_borders"))
-    placed = values.join(bounded(borders, len(features)), "feature").select(
-        "feature", "value", "n_ref", "n_cur",
-        F.size(F.filter("_borders", lambda b: b <= F.col("value"))).alias("_bucket"),
-    )
+    found = both.agg(*[F.percentile_approx(f"v{i}", grid, 10 * buckets) for i in range(len(features))]).first()
+    out = []
+    for i, borders in enumerate(found):
+        edges = [float("-inf"), *sorted(set(borders or [])), float("inf")]
+        out += [(i, k, lo, hi) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    return reference.sparkSession.createDataFrame(out, "_p int, _bucket int, lo double, hi double")
+
+
+def two_sample_ecdf(
+    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS, rows: int | None = None
+) -> DataFrame:
+    """Cumulative counts of both sides at each distinct value, and the next value."""
+    values = value_counts(reference, current, features)
+    ranges = value_ranges(reference, current, features, buckets, rows)
+    inside = (F.col("pos") == F.col("_p")) & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
+    placed = values.join(bounded(ranges, len(features) * buckets), inside).select("pos", "value", "n_ref", "n_cur", "_bucket")
     return prefix_sums(
-        placed, ["feature"], "_bucket", ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"},
+        placed, ["pos"], "_bucket", ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"},
         lead=("next_value", "value"), total_rows=len(features) * buckets,
     ).drop("_bucket")
 
@@ -66,21 +87,29 @@ def two_sample_ecdf(
 def feature_distances(
     reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS
 ) -> DataFrame:
-    """Sample sizes, KS statistic, Wasserstein distance and reference spread per feature."""
-    ref = wide_to_long(reference, features, {"n_ref": lambda x: F.count(finite(x)), "spread": lambda x: F.stddev_pop(finite(x))})
-    cur = wide_to_long(current, features, {"n_cur": lambda x: F.count(finite(x))}).drop("pos")
-    sizes = ref.join(F.broadcast(cur), "feature")
-    curve = two_sample_ecdf(reference, current, features, buckets).drop("n_ref", "n_cur")
+    """Sample sizes, KS statistic, Wasserstein distance and reference spread per feature.
+
+    The sizes and spreads are one row per feature and are fitted first.
+    """
+    present, spread = (lambda x: F.count(finite(x))), (lambda x: F.stddev_pop(finite(x)))
+    ref = wide_to_long(reference, features, {"n_ref": present, "spread": spread}).collect()
+    cur = {r["feature"]: r["n_cur"] for r in wide_to_long(current, features, {"n_cur": present}).collect()}
+    sizes = reference.sparkSession.createDataFrame(
+        [(r["pos"], r["feature"], r["n_ref"], r["spread"], cur[r["feature"]]) for r in ref],
+        "pos int, feature string, n_ref bigint, spread double, n_cur bigint",
+    )
+    largest = max((r["n_ref"] + cur[r["feature"]] for r in ref), default=0)
+    curve = two_sample_ecdf(reference, current, features, buckets, largest).drop("n_ref", "n_cur")
     gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))
     distances = (
-        curve.join(bounded(sizes.select("feature", "n_ref", "n_cur"), len(features)), "feature")
-        .groupBy("feature")
+        curve.join(bounded(sizes.select("pos", "n_ref", "n_cur"), len(features)), "pos")
+        .groupBy("pos")
         .agg(
             F.max(gap).alias("statistic"),
             F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("raw_distance"),
         )
     )
-    return sizes.join(distances, "feature", "left")
+    return sizes.join(distances, "pos", "left")
 
 
 def ks_pvalue(d: float, n: int, m: int) -> float:

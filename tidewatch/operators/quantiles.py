@@ -1,7 +1,8 @@
 """Exact quantiles of many columns without holding a column's values in one task.
 
-``percentile`` keeps every distinct value of a column in one buffer, which is fine
-for a bounded table and not for a corpus. Above ``direct_rows`` the job narrows:
+The built-in ``percentile`` keeps every distinct value of a column in one buffer. Here
+the values are first collapsed to (value, count). Up to ``direct_rows`` rows the ranks
+are read off that directly. Above, the job narrows:
 a bounded sketch proposes a bracket around each wanted rank, one scan counts what
 lies below the bracket and collapses what lies inside to (value, count), and the
 rank is read off exactly. A bracket that turns out not to hold the rank is widened,
@@ -45,20 +46,20 @@ def quantiles(
 
 
 def _chunk_quantiles(part, width, probs, direct_rows, candidates, sketch):
+    cols = range(width)
+    size = part.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in cols]).first()
+    if max(size) <= direct_rows:
+        return _direct(part, list(size), probs)
+
     spread = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2.0 / sketch, 2.0 / sketch)]
     seen = part.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
-        *[F.min(f"v{i}").alias(f"lo{i}") for i in range(width)],
-        *[F.max(f"v{i}").alias(f"hi{i}") for i in range(width)],
-        *[F.percentile_approx(f"v{i}", spread, sketch).alias(f"s{i}") for i in range(width)],
+        *[F.min(f"v{i}").alias(f"lo{i}") for i in cols],
+        *[F.max(f"v{i}").alias(f"hi{i}") for i in cols],
+        *[F.percentile_approx(f"v{i}", spread, sketch).alias(f"s{i}") for i in cols],
     ).first()
-    if max(seen[f"n{i}"] for i in range(width)) <= direct_rows:
-        row = part.agg(*[F.percentile(f"v{i}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}") for i in range(width)]).first()
-        return [list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i in range(width)]
-
     targets = []
     for i in range(width):
-        n = seen[f"n{i}"]
+        n = size[f"n{i}"]
         for j, p in enumerate(probs):
             if n:
                 at = p * (n - 1)
@@ -75,6 +76,27 @@ def _chunk_quantiles(part, width, probs, direct_rows, candidates, sketch):
     return out
 
 
+def _direct(part: DataFrame, sizes: list[int], probs: Sequence[float]) -> list[list[float | None]]:
+    """Read ranks off the collapsed values; for tables whose row count is bounded."""
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("v")) for i in range(len(sizes))])
+    counts = part.select(F.inline(cells)).where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    at = [[p * (n - 1) if n else 0.0 for n in sizes] for p in probs]
+    rank = lambda j: F.element_at(F.array(*[F.lit(math.floor(x)) for x in at[j]]), F.col("k") + 1)
+    found = counts.withColumn("_upto", upto).groupBy("k").agg(
+        *[F.min(F.when(F.col("_upto") > rank(j) + d, F.col("v"))).alias(f"q{j}_{d}") for j in range(len(probs)) for d in (0, 1)]
+    )
+    rows = {r["k"]: r for r in found.collect()}
+
+    def value(i: int, j: int) -> float | None:
+        if i not in rows:
+            return None
+        low, high = rows[i][f"q{j}_0"], rows[i][f"q{j}_1"]
+        return low if high is None else low + (high - low) * (at[j][i] - math.floor(at[j][i]))
+
+    return [[value(i, j) for j in range(len(probs))] for i in range(len(sizes))]
+
+
 def _narrow(part: DataFrame, targets: list[dict], candidates: int) -> None:
     """Fix wrong brackets and shrink large ones until each holds few distinct values."""
     for _ in range(8):

@@ -113,8 +113,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = df.select(*[finite(c(n)).alias(f"x{i}") for i, n in enumerate(columns)])
     pairs = list(combinations(range(len(columns)), 2))
     parts = []
-    for start in range(0, len(pairs), 30):
-        chunk = pairs[start : start + 30]
+    # Ten buffers a pair: more than nine pairs would leave generated code.
+    for start in range(0, len(pairs), 9):
+        chunk = pairs[start : start + 9]
         row = values.agg(*[pearson(f"x{i}", f"x{j}").alias(f"r_{i}_{j}") for i, j in chunk])
         parts.append(
             row.select(

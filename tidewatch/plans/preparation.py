@@ -14,6 +14,8 @@ from ..functions.names import feature_columns
 from ..operators.quality import check_no_missing
 from ..operators.sampling import stratified_sample, train_test_split
 from ..operators.scaling import Parameters, apply_fills, apply_scaler, correlated_columns, fit_fills, fit_scaler
+from ..session import shared_dir
+from ..sources.sinks import write_splits
 
 
 class FlowPreparerModel(Model):
@@ -81,14 +83,17 @@ def prepare_training_tables(
     """Sample (optional), split, fit on train, apply to both.
 
     Returns one table with ``split``, ``label_int``, ``label_class`` and the scaled
-    features, and the fitted model. ``cleaned`` is read several times, so pass a
-    table on storage or a persisted frame.
+    features, and the fitted model. The split rows are written to shared storage
+    once, because every fit reads them again.
     """
     features = feature_columns(cleaned, [*config.META_COLUMNS, *key])
     rows = cleaned
     if sample_rows is not None:
         rows = stratified_sample(rows, sample_rows, "label_class", key, seed, len(classes))
     marked = train_test_split(rows, "label_class", key, test_fraction, seed, len(classes))
+    stored = shared_dir(cleaned.sparkSession, "split")
+    write_splits(marked, stored)
+    marked = cleaned.sparkSession.read.parquet(stored)
     model = FlowPreparer(features, fill, correlation, scaler, **limits).fit(marked.where("split = 'train'"))
     ready = model.transform(encode_labels(marked, classes=classes))
     check_no_missing(ready, model.features)
