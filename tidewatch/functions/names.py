@@ -57,12 +57,22 @@ def resolve_headers(headers: Sequence[str], features: Sequence[str] = (), keep:
 def normalize_columns(df: DataFrame, features: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Rename to canonical names and keep the first of any columns that collide."""
     names = resolve_headers(df.columns, features, keep)
-    positional = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    positional, _ = by_exact_name(df)
     first_at = {n: i for i, n in reversed(list(enumerate(names)))}
     keep = sorted(first_at.items(), key=lambda item: item[1])
     return positional.select(*[F.col(f"_c{i}").alias(n) for n, i in keep])
 
 
+def by_exact_name(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The table under positional names, and its columns by exact original name.
+
+    Spark resolves names without regard to case, so ``Label`` next to ``label`` can
+    only be told apart by position.
+    """
+    at = {n: F.col(f"_c{i}") for i, n in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), at
+
+
 def strip_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[n.strip() for n in df.columns])
 
@@ -99,10 +109,9 @@ def extract_labels(df: DataFrame, as_name: str = "truth_raw") -> DataFrame:
     name = label_column(df)
     if name is None:
         return df
-    at = df.columns.index(name)
-    positional = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    positional, at = by_exact_name(df)
     kept = [F.col(f"_c{i}").alias(n) for i, n in enumerate(df.columns)]
-    return positional.select(*kept, F.col(f"_c{at}").cast("string").alias(as_name))
+    return positional.select(*kept, at[name].cast("string").alias(as_name))
 
 
 def unused_columns(supplied: Sequence[str], features: Sequence[str]) -> list[str]:

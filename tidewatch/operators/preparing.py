@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.names import c, normalize_columns, numeric_columns
+from ..functions.names import by_exact_name, c, normalize_columns, numeric_columns
 from ..functions.numeric import finite, is_finite, to_number
 from .scaling import Parameters, scaled
 
@@ -43,10 +43,6 @@ def check_coverage(
     return absent
 
 
-def _numeric_input(df: DataFrame, name: str, numeric: set[str]):
-    return finite(c(name)) if name in numeric else finite(to_number(c(name)))
-
-
 def prepare(
     df: DataFrame,
     params: Parameters,
@@ -64,7 +60,14 @@ def prepare(
     df = df if normalized else normalize_columns(df)
     absent = set(check_coverage(df.columns, params.features, allow_missing, max_missing))
     numeric = set(numeric_columns(df))
-    cells = {f: (F.lit(None).cast("double") if f in absent else _numeric_input(df, f, numeric)) for f in params.features}
+    df, at = by_exact_name(df)
+
+    def cell(f: str):
+        if f in absent:
+            return F.lit(None).cast("double")
+        return finite(at[f] if f in numeric else to_number(at[f]))
+
+    cells = {f: cell(f) for f in params.features}
     outs = [
         scaled(F.coalesce(cells[f], F.lit(params.fill[f])), params.center[f], params.scale[f]).alias(f)
         for f in params.features
@@ -72,21 +75,21 @@ def prepare(
     present = [f for f in params.features if f not in absent]
     filled = reduce(lambda a, b: a + b, [cells[f].isNull().cast("int") for f in present], F.lit(0))
     extra = [filled.alias("n_filled")] if flag_filled else []
-    return df.select(*[c(k) for k in keep], *extra, *outs)
+    return df.select(*[at[k].alias(k) for k in keep], *extra, *outs)
 
 
 def display_values(df: DataFrame, params: Parameters, keep: Sequence[str] = ()) -> DataFrame:
     """Raw feature values for reading: coerced, fill for missing, infinities kept."""
     numeric = set(numeric_columns(df))
-    have = set(df.columns)
+    df, at = by_exact_name(df)
 
     def value(f: str):
-        if f not in have:
+        if f not in at:
             return F.lit(params.fill[f])
-        raw = c(f).cast("double") if f in numeric else to_number(c(f))
+        raw = at[f].cast("double") if f in numeric else to_number(at[f])
         return F.coalesce(F.when(~F.isnan(raw), raw), F.lit(params.fill[f]))
 
-    return df.select(*[c(k) for k in keep], *[value(f).alias(f) for f in params.features])
+    return df.select(*[at[k].alias(k) for k in keep], *[value(f).alias(f) for f in params.features])
 
 
 def split_valid(df: DataFrame, features: Sequence[str]) -> DataFrame:
