@@ -43,10 +43,12 @@ def test_constant_columns(spark):
 
 
 def test_dedup_ignores_file_and_keeps_first(spark):
-    rows = [(1, 3, "f2"), (2, 4, "f1"), (1, 3, "f1"), (1, 3, "other")]
+    rows = [(1, 3, "f2"), (2, 4, "f1"), (1, 3, "f1")]
     df = spark.createDataFrame(rows, "a int, b int, source_file string")
     out = {(r["a"], r["b"]): r["source_file"] for r in cleaning.deduplicate(df, manifest=["f1", "f2"]).collect()}
     assert out == {(1, 3): "f1", (2, 4): "f1"}
+    with pytest.raises(Exception, match="outside the manifest"):
+        cleaning.deduplicate(df, manifest=["f1"]).collect()
     nans = spark.createDataFrame([(NAN, "x"), (NAN, "y"), (0.0, "x"), (-0.0, "y")], "a double, source_file string")
     assert cleaning.deduplicate(nans, manifest=["x", "y"]).count() == 2
 

@@ -28,12 +28,11 @@ def deduplicate(
         return df.dropDuplicates()
     keys = [n for n in df.columns if n != file]
     names = F.array(*[F.lit(n) for n in manifest])
-    position = F.array_position(names, c(file)).cast("int")
-    # array_position is 0 for a file outside the manifest; those come last.
-    ordinal = F.when(position > 0, position).otherwise(F.lit(len(manifest) + 1))
-    first = df.groupBy(*[c(n) for n in keys]).agg(F.min(ordinal).alias("_at"), F.min(c(file)).alias("_any"))
-    kept = F.when(F.col("_at") <= len(manifest), F.element_at(names, F.least("_at", F.lit(len(manifest)))))
-    return first.select(*[c(n) for n in keys], F.coalesce(kept, F.col("_any")).alias(file))
+    found = F.array_position(names, c(file)).cast("int")
+    fail = F.raise_error(F.concat(F.lit("file outside the manifest: "), F.coalesce(c(file), F.lit("<null>"))))
+    position = F.when(found > 0, found).otherwise(fail.cast("int"))
+    first = df.groupBy(*[c(n) for n in keys]).agg(F.min(position).alias("_at"))
+    return first.select(*[c(n) for n in keys], F.element_at(names, F.col("_at")).alias(file))
 
 
 def cleaning_counts(df: DataFrame, file: str = "source_file") -> DataFrame:

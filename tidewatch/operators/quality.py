@@ -17,10 +17,14 @@ CHUNK = 12
 
 
 def label_counts(df: DataFrame, file: str = "source_file", label: str = "Label") -> DataFrame:
-    """Rows per (file, label) and per label over all files (``source_file`` NULL there)."""
+    """Rows per (file, label) and per label over all files (``source_file`` NULL there).
+
+    The table is counted once; the rollup then works on the counts.
+    """
+    counts = df.groupBy(label, file).agg(F.count("*").alias("_n"))
     return (
-        df.rollup(label, file)
-        .agg(F.count("*").alias("rows"), F.grouping(label).alias("_all"), F.grouping(file).alias("total"))
+        counts.rollup(label, file)
+        .agg(F.sum("_n").alias("rows"), F.grouping(label).alias("_all"), F.grouping(file).alias("total"))
         .where("_all = 0")
         .select(file, label, F.col("total").cast("boolean").alias("all_files"), "rows")
     )

@@ -34,7 +34,8 @@ def _bucket(token: Column) -> Column:
 def stratum_buckets(df: DataFrame, stratum: str, key: Sequence[str], seed: int = config.SEED) -> DataFrame:
     """(stratum, bucket, n): at most 65536 rows per stratum."""
     return (
-        df.select(F.col(stratum), _bucket(sample_token(key, seed)).alias("_bucket"))
+        df.where(F.col(stratum).isNotNull())
+        .select(F.col(stratum), _bucket(sample_token(key, seed)).alias("_bucket"))
         .groupBy(stratum, "_bucket")
         .agg(F.count("*").alias("_n"))
     )
@@ -52,7 +53,7 @@ def take_quota(
     """Keep exactly ``quota`` rows of every stratum, without replacement.
 
     ``key`` must identify a row. ``quota_rule`` gets (stratum, rows) and returns
-    (stratum, quota). ``strata`` bounds the number of strata where it is known.
+    (stratum, quota). Rows without a stratum are never taken. ``strata`` bounds the number of strata where it is known.
     With ``mark`` no row is dropped; a boolean column says which ones are taken.
     """
     hist = stratum_buckets(df, stratum, key, seed)
@@ -77,7 +78,7 @@ def take_quota(
     rank = F.row_number().over(Window.partitionBy(stratum, "_bucket").orderBy("_order"))
     cut = in_edge.withColumn("_rank", rank).where("_rank = _need").select(F.col(stratum).alias("_s"), F.col("_order").alias("_cut"))
     how = "left" if mark else "inner"
-    joined = df.join(bounded(cut, strata), F.col(stratum).eqNullSafe(F.col("_s")), how)
+    joined = df.join(bounded(cut, strata), F.col(stratum) == F.col("_s"), how)
     taken = order <= F.col("_cut")
     if mark:
         return joined.withColumn(mark, F.coalesce(taken, F.lit(False))).drop("_s", "_cut")

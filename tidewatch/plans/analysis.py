@@ -13,6 +13,7 @@ from ..functions.names import c, extract_labels, label_column, normalize_columns
 from ..operators import attribution, scoring
 from ..operators.preparing import coverage, display_values, prepare
 from ..operators.scaling import Parameters
+from ..session import shared_dir
 from .training import score
 
 
@@ -55,7 +56,10 @@ def analyze(
     if scored_rows is not None:
         export = scoring.first_rows(export, row, scored_rows)
     normalized = normalize_columns(export, params.features, [row])
-    scored = score_export(export, model, params, row, classes).persist()
+    # Several aggregates read the scored table, so it is written once.
+    stored = shared_dir(export.sparkSession, "scored")
+    score_export(export, model, params, row, classes).write.parquet(stored)
+    scored = export.sparkSession.read.parquet(stored)
     shown = scoring.first_rows(scored, row, min(returned, explained))
     k = F.array_position(F.array(*[F.lit(n) for n in sorted(classes, key=classes.get)]), F.col("prediction")) - 1
     parts = attribution.tree_contributions(
