@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import bounded
+from ..session import bounded, local_table
 
 # Fixed value: the character that stands for bytes a decoder could not read.
 UNREADABLE = "�"
@@ -46,7 +46,7 @@ def label_dimension(spark: SparkSession, label_map: dict[str, str] = config.LABE
     for raw, cls in label_map.items():
         if dim.setdefault(normalize_label_text(raw), cls) != cls:
             raise ValueError(f"label map collision on {normalize_label_text(raw)!r}")
-    return spark.createDataFrame(list(dim.items()), "norm string, label_class string")
+    return local_table(spark, list(dim.items()), "norm string, label_class string")
 
 
 def label_collisions(pairs: DataFrame, raw: str = "raw", cls: str = "label_class") -> DataFrame:
@@ -59,7 +59,7 @@ def label_collisions(pairs: DataFrame, raw: str = "raw", cls: str = "label_class
 
 
 def class_dimension(spark: SparkSession, classes: dict[str, int] = config.CLASS_IDS) -> DataFrame:
-    return spark.createDataFrame(sorted(classes.items(), key=lambda kv: kv[1]), "label_class string, class_id int")
+    return local_table(spark, sorted(classes.items(), key=lambda kv: kv[1]), "label_class string, class_id int")
 
 
 def map_labels(
@@ -130,7 +130,7 @@ def resolve_truth(
     """Case-blind truth resolution: raw labels and class names; NULL where neither fits."""
     lookup = {cls.lower(): cls for cls in label_map.values()}
     lookup |= {normalize_label_text(raw).lower(): cls for raw, cls in label_map.items()}
-    dim = df.sparkSession.createDataFrame(list(lookup.items()), f"_norm string, {out} string")
+    dim = local_table(df.sparkSession, list(lookup.items()), f"_norm string, {out} string")
     return (
         df.withColumn("_norm", F.lower(normalize_label(F.col(truth).cast("string"))))
         .join(bounded(dim, len(lookup)), "_norm", "left")

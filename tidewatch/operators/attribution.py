@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import c
-from ..session import shared_dir
+from ..session import bounded, shared_dir
 
 MAX_NODES = 5_000_000
 
@@ -153,8 +153,6 @@ def linear_contributions(
     ``long`` is (row, feature, value); weights (class, feature, w) and means
     (feature, mean) are model tables of ``classes * features`` rows.
     """
-    from ..session import bounded
-
     model = weights.join(bounded(means, features), "feature")
     return long.join(bounded(model, features * classes), "feature").select(
         row, "label_class", "feature", (F.col("w") * (F.col("value") - F.col("mean"))).alias("contribution")

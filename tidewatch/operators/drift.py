@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import config
 from ..functions.names import c, shared_columns
 from ..functions.numeric import finite
-from ..session import bounded
+from ..session import bounded, local_table
 from .prefix import prefix_sums
 from .quality import wide_to_long
 
@@ -67,7 +67,7 @@ def value_ranges(
     for i, borders in enumerate(found):
         edges = [float("-inf"), *sorted(set(borders or [])), float("inf")]
         out += [(i, k, lo, hi) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    return reference.sparkSession.createDataFrame(out, "_p int, _bucket int, lo double, hi double")
+    return local_table(reference.sparkSession, out, "_p int, _bucket int, lo double, hi double")
 
 
 def two_sample_ecdf(
@@ -94,7 +94,8 @@ def feature_distances(
     present, spread = (lambda x: F.count(finite(x))), (lambda x: F.stddev_pop(finite(x)))
     ref = wide_to_long(reference, features, {"n_ref": present, "spread": spread}).collect()
     cur = {r["feature"]: r["n_cur"] for r in wide_to_long(current, features, {"n_cur": present}).collect()}
-    sizes = reference.sparkSession.createDataFrame(
+    sizes = local_table(
+        reference.sparkSession,
         [(r["pos"], r["feature"], r["n_ref"], r["spread"], cur[r["feature"]]) for r in ref],
         "pos int, feature string, n_ref bigint, spread double, n_cur bigint",
     )

@@ -7,6 +7,7 @@ at most classes x classes rows per model.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,11 @@ def confusion_matrix(
     )
     if by:
         cells = pairs.select(*by).distinct().crossJoin(bounded(cells, len(classes) ** 2))
-    return cells.join(pairs, [*by, "truth", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # Null-safe keys: no null test is pushed below the count, where it would score rows twice.
+    keys = [*by, "truth", "prediction"]
+    counted = pairs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return cells.join(counted, same, "left").select(*cells.columns, F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 def confusion_pivot(pairs: DataFrame, classes: dict[str, int] = config.CLASS_IDS, by: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..session import bounded
+from ..session import bounded, local_table
 
 # More strata than this and the cut table is joined without a broadcast hint.
 UNKNOWN = 10**9
@@ -138,7 +138,7 @@ def attack_mix_quota(rows: int, attack_rate: float, cls: str, mix: dict[str, flo
     n_attack = round(rows * attack_rate)
 
     def rule(sizes: DataFrame) -> DataFrame:
-        weights = sizes.sparkSession.createDataFrame(list(mix.items()), f"{cls} string, _w double")
+        weights = local_table(sizes.sparkSession, list(mix.items()), f"{cls} string, _w double")
         available = sizes.join(bounded(weights, len(mix)), cls, "left")
         everywhere = Window.partitionBy(F.lit(0))
         want = F.bround(F.lit(n_attack) * F.col("_w") / F.sum("_w").over(everywhere), 0).cast("long")

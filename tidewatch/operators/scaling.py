@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.names import c
 from ..functions.numeric import finite, pearson
+from ..session import bounded, local_table
 from .quality import wide_to_long
 from .quantiles import quantiles
 
@@ -33,7 +34,7 @@ class Parameters:
         rows = [
             (i, f, self.fill.get(f), self.center.get(f, 0.0), self.scale.get(f, 1.0)) for i, f in enumerate(self.features)
         ]
-        return spark.createDataFrame(rows, PARAMETER_SCHEMA)
+        return local_table(spark, rows, PARAMETER_SCHEMA)
 
     @staticmethod
     def from_df(df: DataFrame) -> "Parameters":
@@ -90,7 +91,7 @@ def fill_report(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     """Cells filled per column, with the value used; only columns that had any."""
     names = [n for n in fills if n in df.columns]
     counts = wide_to_long(df, names, {"n_filled": lambda x: F.count_if(finite(x).isNull())})
-    values = df.sparkSession.createDataFrame([(n, fills[n]) for n in names], "feature string, fill_value double")
+    values = local_table(df.sparkSession, [(n, fills[n]) for n in names], "feature string, fill_value double")
     return counts.where("n_filled > 0").join(values, "feature")
 
 
@@ -192,6 +193,4 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
 
 def with_sample_weight(df: DataFrame, cls: str, classes: int) -> DataFrame:
     """Add the row weight; ``classes`` bounds the number of classes."""
-    from ..session import bounded
-
     return df.join(bounded(class_weights(df, cls).select(cls, "weight"), classes), cls)

@@ -13,7 +13,7 @@ from ..functions.numeric import ratio
 from ..functions.verdict import (
     argmax_class, bin_label, confidence_bin, direction_text, increases_threat, is_attack, probability_map, threat_level,
 )
-from ..session import bounded
+from ..session import bounded, local_table
 from .prefix import position_bucket
 
 # Up to this many rows a sorted limit is left to the engine.
@@ -31,9 +31,12 @@ def with_verdict(df: DataFrame, probs: str = "probs", classes: Sequence[str] = c
 
 def class_breakdown(scored: DataFrame, classes: dict[str, int] = config.CLASS_IDS) -> DataFrame:
     """Predicted rows per class of the taxonomy, zero where there are none."""
-    counts = scored.groupBy(F.col("prediction").alias("label_class")).agg(F.count("*").alias("n"))
+    counts = scored.groupBy("prediction").agg(F.count("*").alias("n"))
     dim = class_dimension(scored.sparkSession, classes)
-    return dim.join(counts, "label_class", "left").select("class_id", "label_class", F.coalesce("n", F.lit(0)).alias("n"))
+    # A null-safe key keeps the planner from pushing a null test, and with it a
+    # second evaluation of the verdict, below the aggregate.
+    joined = dim.join(counts, F.col("label_class").eqNullSafe(F.col("prediction")), "left")
+    return joined.select("class_id", "label_class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def attack_totals(scored: DataFrame, high: float = config.THREAT_HIGH, medium: float = config.THREAT_MEDIUM) -> DataFrame:
@@ -49,9 +52,9 @@ def attack_totals(scored: DataFrame, high: float = config.THREAT_HIGH, medium: f
 
 def confidence_histogram(scored: DataFrame, bins: Sequence[tuple[float, float]] = config.CONFIDENCE_BINS) -> DataFrame:
     """Rows per confidence bin; empty bins stay."""
-    counts = scored.groupBy(confidence_bin(F.col("confidence"), bins).alias("bin")).agg(F.count("*").alias("n"))
-    dim = scored.sparkSession.createDataFrame([(i, bin_label(*b)) for i, b in enumerate(bins)], "bin int, bucket string")
-    return dim.join(counts, "bin", "left").select("bin", "bucket", F.coalesce("n", F.lit(0)).alias("count"))
+    counts = scored.groupBy(confidence_bin(F.col("confidence"), bins).alias("_bin")).agg(F.count("*").alias("n"))
+    dim = local_table(scored.sparkSession, [(i, bin_label(*b)) for i, b in enumerate(bins)], "bin int, bucket string")
+    return dim.join(counts, F.col("bin").eqNullSafe(F.col("_bin")), "left").select("bin", "bucket", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def accuracy(scored: DataFrame, truth: str = "truth") -> DataFrame:
@@ -213,9 +216,8 @@ def first_correct_per_group(
     scored: DataFrame, key: str, groups: Sequence[tuple[str, Sequence[str]]], truth: str = "truth"
 ) -> DataFrame:
     """One correctly classified row per class group, trying its classes in order."""
-    dim = scored.sparkSession.createDataFrame(
-        [(g, i, n) for g, names in groups for i, n in enumerate(names)], f"sample_type string, class_rank int, {truth} string"
-    )
+    pairs = [(g, i, n) for g, names in groups for i, n in enumerate(names)]
+    dim = local_table(scored.sparkSession, pairs, f"sample_type string, class_rank int, {truth} string")
     hits = scored.where(F.col(truth) == F.col("prediction"))
     w = Window.partitionBy("sample_type").orderBy("class_rank", key)
     joined = hits.join(bounded(dim, sum(len(n) for _, n in groups)), truth)
@@ -236,7 +238,7 @@ def contract_violations(
         .join(bounded(names, len(classes)), "label_class", "left_anti")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
     )
-    expected = scored.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
+    expected = local_table(scored.sparkSession, list(enumerate(features)), "pos int, feature string")
     order = expected.exceptAll(parameters.select("pos", "feature")).unionByName(
         parameters.select("pos", "feature").exceptAll(expected)
     ).agg(F.count("*").alias("violations"))

@@ -20,6 +20,7 @@ from ..operators.governance import against, decide, gate_metrics
 from ..operators.metrics import evaluate
 from ..operators.scaling import with_sample_weight
 from ..operators.scoring import with_verdict
+from ..session import local_table
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -111,7 +112,7 @@ def rank_features(spark, features: Sequence[str], scores: Sequence[float]) -> Da
     """(pos, feature, importance, rank); one row per feature, ties in feature order."""
     order = sorted(range(len(features)), key=lambda i: (-scores[i], i))
     rows = [(i, features[i], float(scores[i]), r + 1) for r, i in enumerate(order)]
-    return spark.createDataFrame(rows, "pos int, feature string, importance double, rank int")
+    return local_table(spark, rows, "pos int, feature string, importance double, rank int")
 
 
 def top_features_of(features: Sequence[str], scores: Sequence[float], k: int) -> list[str]:
@@ -187,7 +188,7 @@ def sweep(
         row = gate_metrics(tables["per_class"], tables["summary"], ("model", "ord"))
         row = row.select(*[F.round(x, 6).alias(x) if x in ("accuracy", "macro_f1", "mean_attack_fnr", "macro_attack_f1") else F.col(x) for x in row.columns])
         name, f1, fnr = incumbent or (None, None, None)
-        old = row.sparkSession.createDataFrame([(name, f1, fnr)] if name else [], "model string, macro_f1 double, mean_attack_fnr double")
+        old = local_table(row.sparkSession, [(name, f1, fnr)] if name else [], "model string, macro_f1 double, mean_attack_fnr double")
         decided = decide(against(row.withColumn("champion", F.lit(name).cast("string")), old)).first()
         out.append({"config": cfg, "model": model, "features": chosen, "decision": decided, "train_seconds": seconds})
         if decided["promoted"]:

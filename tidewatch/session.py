@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only when the caller can prove it has at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -55,3 +59,11 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     Above the bound the frame is returned as it is and the planner picks the join.
     """
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of constants that the planner knows the size of (a local relation)."""
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(list(values), type=f.type) for values, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, schema=fields))

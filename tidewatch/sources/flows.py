@@ -14,6 +14,7 @@ from .. import config
 from ..functions.names import c, normalize_columns, select_features
 from ..operators.preparing import prepare
 from ..operators.scaling import PARAMETER_SCHEMA, Parameters
+from ..session import local_table
 
 DELIMITERS = [",", "\t", ";", "|"]
 # Keys under which exporters wrap their records, in the order they are tried.
@@ -242,4 +243,4 @@ def catalogue(
             rows.append((i, n[: -len(suffix)], n, json.dumps(row, sort_keys=True), None))
         except Exception as failure:  # noqa: BLE001 - the row reports it
             rows.append((i, n[: -len(suffix)], n, None, str(failure).splitlines()[0]))
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)
