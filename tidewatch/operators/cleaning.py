@@ -12,6 +12,7 @@ from .. import config
 from ..functions.labels import check_labels, map_labels_strict
 from ..functions.names import c, floating_columns, numeric_columns
 from ..functions.numeric import is_inf
+from ..session import shared_dir
 from .quality import constant_columns, replace_inf
 
 
@@ -82,7 +83,10 @@ def clean(
     mapped = map_labels_strict(df, label, label_map).withColumnRenamed(label, "label_raw")
     rows = replace_inf(mapped, floating_columns(mapped))
     if drop_duplicates:
-        rows = deduplicate(rows, manifest=manifest)
+        # Read twice below, so the shuffled result is stored rather than made again.
+        stored = shared_dir(df.sparkSession, "deduplicated")
+        deduplicate(rows, manifest=manifest).write.parquet(stored)
+        rows = df.sparkSession.read.parquet(stored)
     found = constant_columns(rows, numeric_columns(rows), inf_breaks=False).orderBy("pos")
     constant = [r["feature"] for r in found.collect()]
     return (drop_columns(rows, constant) if drop_constant else rows), constant

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.labels import class_dimension
 from ..functions.numeric import ratio
-from ..session import bounded
+from ..session import bounded, local_table
 
 # Summary columns of a metrics document, in report order.
 SUMMARY = [
@@ -34,6 +34,14 @@ def pair_counts(scored: DataFrame, truth: str = "truth", pred: str = "prediction
     )
 
 
+def settle(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The pair counts as constants: at most classes x classes rows for each of a few
+    models, so that later tables do not score the rows again."""
+    names = [*by, "truth", "prediction", "n"]
+    rows = [tuple(r) for r in pairs.select(*names).collect()]
+    return local_table(pairs.sparkSession, rows, ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in names))
+
+
 def confusion_matrix(
     pairs: DataFrame, classes: dict[str, int] = config.CLASS_IDS, by: Sequence[str] = ()
 ) -> DataFrame:

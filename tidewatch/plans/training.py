@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.names import c
 from ..operators.governance import against, decide, gate_metrics
-from ..operators.metrics import evaluate
+from ..operators.metrics import confusion_matrix, pair_counts, per_class, settle, summary
 from ..operators.scaling import with_sample_weight
 from ..operators.scoring import with_verdict
 from ..session import local_table
@@ -138,7 +138,10 @@ def evaluate_model(test: DataFrame, model, features: Sequence[str], classes: dic
     scored = score(test, model, features, names).select(
         F.lit(name).alias("model"), F.lit(ord_).cast("long").alias("ord"), F.col("label_class").alias("truth"), "prediction"
     )
-    return evaluate(scored, classes=classes, by=("model", "ord"))
+    by = ("model", "ord")
+    pairs = settle(pair_counts(scored, by=by), by)
+    rates = per_class(pairs, classes, by)
+    return {"confusion": confusion_matrix(pairs, classes, by), "per_class": rates, "summary": summary(rates, by)}
 
 
 def feature_experiment(

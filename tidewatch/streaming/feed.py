@@ -14,7 +14,7 @@ from ..functions.verdict import class_array, threat_level
 from ..operators.drift import detect_drift
 from ..operators.scoring import with_verdict
 from ..session import shared_dir
-from ..sources.flows import exists, list_names
+from ..sources.flows import list_names
 
 
 def score_feed(feed: DataFrame, probs: str = "probs", classes: Sequence[str] = config.CLASSES) -> DataFrame:
@@ -76,26 +76,27 @@ def trim_timeline(buckets: DataFrame, keep: int = 40, bucket: str = "bucket") ->
 class RecentFlows:
     """The newest flows across micro-batches, as a table per batch in shared storage.
 
-    Batch ``n`` merges table ``n - 1`` with its rows and writes table ``n`` whole, so
-    a batch that is run again after a failure gives the same table.
+    Batch ``n`` merges the table of the batch before with its rows and writes table
+    ``n`` whole, so a batch that is run again after a failure gives the same table.
     """
 
     def __init__(self, spark: SparkSession, path: str, order: str, size: int = 250):
         self.spark, self.path, self.order, self.size = spark, path, order, size
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = self._at(batch_id - 1)
+        before = self._newest(batch_id)
         rows = batch if before is None else before.unionByName(batch)
         newest = rows.orderBy(F.desc(self.order)).limit(self.size)
         newest.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def _at(self, batch_id: int) -> DataFrame | None:
-        path = f"{self.path}/batch={batch_id}"
-        return self.spark.read.parquet(path) if batch_id >= 0 and exists(self.spark, path) else None
+    def _newest(self, below: float = float("inf")) -> DataFrame | None:
+        ids = [int(n.split("=")[1]) for n in list_names(self.spark, self.path) if n.startswith("batch=")]
+        ids = [i for i in ids if i < below]
+        return self.spark.read.parquet(f"{self.path}/batch={max(ids)}") if ids else None
 
     def current(self) -> DataFrame:
-        ids = [int(n.split("=")[1]) for n in list_names(self.spark, self.path) if n.startswith("batch=")]
-        return self.spark.read.parquet(f"{self.path}/batch={max(ids)}").orderBy(F.desc(self.order))
+        """The buffer after the last batch, newest first."""
+        return self._newest().orderBy(F.desc(self.order))
 
     def latest_attacks(self, limit: int = 5) -> DataFrame:
         return self.current().where("is_attack").orderBy(F.desc(self.order)).limit(limit)
