@@ -68,7 +68,7 @@ def main(argv):
     sqls = entry.oracle_sql()
     failed = []
     for name, fn in entry.queries().items():
-        if only and not any(o in name for o in only):
+        if only and not any(name.startswith(o) for o in only):
             continue
         t = time.time()
         try:
