@@ -41,6 +41,19 @@ def _sliding(rows: DataFrame, name: str, wide: int, pick: Callable[[Column, Colu
     return rows.withColumn(out, F.col(now))
 
 
+def _hashed(rows: DataFrame, span: int, gram: int, out: str) -> DataFrame:
+    """Adds ``out``, the hashes of all k-grams of words; null where there are fewer words than ``span``."""
+    n = F.size("words")
+    at = F.when(n >= span, F.sequence(F.lit(0), n - gram))
+    return rows.withColumn(out, F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(gram)])))
+
+
+def _least(rows: DataFrame, span: int, gram: int, out: str) -> DataFrame:
+    """Adds ``out``, the least hash of every window of span - gram + 1 k-grams."""
+    rows = _hashed(rows, span, gram, f"{out}_h")
+    return _sliding(rows, f"{out}_h", span - gram + 1, lambda x, y: F.least(x, y), out)
+
+
 def fingerprints(rows: DataFrame, span: int, gram: int) -> DataFrame:
     """(id, pos, print, before, gram, after) of every fingerprint of rows (id, words).
 
@@ -50,15 +63,12 @@ def fingerprints(rows: DataFrame, span: int, gram: int) -> DataFrame:
     that may belong to a window with this k-gram.
     """
     wide, side = span - gram + 1, span - gram
-    n = F.size("words")
-    at = F.when(n >= span, F.sequence(F.lit(0), n - gram))
-    rows = rows.select("id", "words", F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(gram)])).alias("h"))
-    rows = _sliding(rows, "h", wide, lambda x, y: F.least(x, y), "low")
+    rows = _least(rows.select("id", "words"), span, gram, "low")
     # windows beyond either end count for nothing in the greatest
     edge = F.array_repeat(F.lit(-(2**63)).cast("long"), wide - 1)
     rows = rows.withColumn("padded", F.concat(edge, "low", edge))
     rows = _sliding(rows, "padded", wide, lambda x, y: F.greatest(x, y), "top")
-    kept = F.transform(F.zip_with("h", "top", lambda x, y: F.when(x == y, x)), lambda x, i: F.struct(i.alias("pos"), x.alias("print")))
+    kept = F.transform(F.zip_with("low_h", "top", lambda x, y: F.when(x == y, x)), lambda x, i: F.struct(i.alias("pos"), x.alias("print")))
     kept = F.filter(kept, lambda x: x["print"].isNotNull())
     part = lambda x: F.struct(
         x["pos"].alias("pos"), x["print"].alias("print"),
@@ -67,6 +77,27 @@ def fingerprints(rows: DataFrame, span: int, gram: int) -> DataFrame:
     return rows.select("id", F.explode(F.transform(kept, part)).alias("f")).select("id", "f.*")
 
 
+def matches(docs: DataFrame, items: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """(id, n_words, hit): a row with a null hit for every row of ``docs``, and one more for each shared fingerprint.
+
+    The one scan that all documents take. Fingerprints alone are compared here, of which
+    an item's are few; documents are not shuffled where those of the items are a broadcast's size.
+    """
+    prints = None
+    for span, gram in spans:
+        one = _least(items.where(F.size("words") == span if span == gram else F.size("words") >= span), span, gram, "low")
+        one = one.select(F.explode("low").alias("print"), F.lit(True).alias("hit"))
+        prints = one if prints is None else prints.union(one)
+    prints = stored(prints.distinct(), "item-prints")
+    rows, found = docs, []
+    for k, (span, gram) in enumerate(spans):
+        rows = _least(rows, span, gram, f"low{k}")
+        found.append(F.coalesce(F.array_distinct(f"low{k}"), F.array().cast("array<long>")))
+    alone = F.array(F.lit(None).cast("long"))
+    rows = rows.select("id", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(alone, *found)).alias("print"))
+    return rows.join(bounded(prints, prints.count()), "print", "left").where("print is null or hit").select("id", "n_words", "hit")
+
+
 def _common(a: Column, b: Column) -> Column:
     """Length of the common beginning of two arrays."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
@@ -100,11 +131,18 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     count once. Empty tables give no hits. Other columns are not looked at.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("id"), words_of(F.col("text")).alias("words"))
-    test = items.select(F.col("item_id").cast("string").alias("id"), words_of(F.col("text")).alias("words"))
-    found = hits(base, test, span, gram)
-    lengths = [r[0] for r in test.select(F.size("words").alias("n")).where(f"n > 0 and n < {span}").distinct().collect()]  # under span of them
-    for n in sorted(lengths):
-        found = found.union(hits(base, test.where(F.size("words") == n), n, n))
+    test = stored(items.select(F.col("item_id").cast("string").alias("id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
+    lengths = [r[0] for r in test.select(F.size("words").alias("n")).where(f"n < {span}").distinct().collect()]  # under span of them
+    spans = [(span, gram), *((n, n) for n in sorted(lengths))]
+    met = stored(matches(base, test, spans), "matches")
+    some = stored(met.where("hit").select("id").distinct(), "matched")
+    raw = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    near = raw.join(bounded(some.withColumnRenamed("id", "__id"), some.count()), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    near = near.select("id", words_of(F.col("text")).alias("words"))
+    found = None
+    for n, k in spans:
+        one = hits(near, test.where(F.size("words") == n if n == k else F.size("words") >= n), n, k)
+        found = one if found is None else found.union(one)
     found = stored(found.distinct(), "hits")
 
     reach = Window.partitionBy("id").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     n_hit = spans.groupBy("id").agg(F.sum(F.greatest(F.col("high") - F.greatest("low", "until"), F.lit(0))).alias("n_hit"))
     ids = found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     per = n_hit.alias("a").join(ids.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id"))).select("a.id", "n_hit", "item_ids")
-    out = base.select("id", F.size("words").cast("long").alias("n_words")).alias("d").join(per.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")), "left")
+    out = met.where("hit is null").alias("d").join(per.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")), "left")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(F.col("d.id").alias("doc_id"), "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
