@@ -14,7 +14,7 @@ alone, and links confirmed on the full sets join nodes to components. Nodes near
 leader that still hang in different components are compared in blocks of bounded size,
 where every pair within the radius is looked at on the full sets unless links already
 join it. A pair that meets in a bucket far from its leader is looked at alone, unless the
-triangle inequality on the two distances to the leader rules it out. So a group of n
+triangle inequality on the two distances to the leader or two bits of each symbol rule it out. So a group of n
 copies costs n comparisons per key, and no pair within the radius is left out.
 """
 
@@ -117,16 +117,24 @@ def _sets(size: int):
 
 def _keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        signs = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(-1, SYMBOLS)
+        signs = _rows(part["signature"])
         yield pd.DataFrame({"node": part["node"], "keys": list(index_keys(signs))})
 
 
+def _rows(signatures: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, SYMBOLS)
+
+
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, SYMBOLS)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, SYMBOLS)
-    return pd.Series((x != y).sum(1).astype(np.int32))
+    return pd.Series((_rows(a) != _rows(b)).sum(1).astype(np.int32))
+
+
+def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Distance, and the lowest two bits of every symbol of ``a`` as four longs."""
+    x = _rows(a)
+    bits = [np.packbits((x >> k) & 1, axis=1) for k in (0, 1)]
+    longs = [np.ascontiguousarray(p).view(">i8").astype(np.int64) for p in bits]
+    return pd.DataFrame({"d": (x != _rows(b)).sum(1).astype(np.int32), "p0": longs[0][:, 0], "p1": longs[0][:, 1], "p2": longs[1][:, 0], "p3": longs[1][:, 1]})
 
 
 def _linked(size: int, percent: int):
@@ -177,10 +185,12 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
 
 def _far(bucket: DataFrame, stars: DataFrame, roots: DataFrame, sign) -> DataFrame:
     """Pairs (a, b) within the radius that share a bucket, of which one at least is not near the bucket's leader."""
-    others = bucket.join(stars, ["node", "leader"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     x, y = others.where(f"d > {RADIUS}").alias("x"), others.alias("y")
+    # two bits of a symbol differ in fewer places than the symbols do, which rules out most pairs where they meet
+    differ = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}")).bitwiseOR(F.col(f"x.p{k + 2}").bitwiseXOR(F.col(f"y.p{k + 2}")))) for k in (0, 1))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
-                 & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))))
+                 & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (differ <= RADIUS))
     met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     met = met.join(sign("a", "s"), "a").join(sign("b", "t"), "b")
     return met.where(F.pandas_udf(_distance, "int")("s", "t") <= RADIUS).select("a", "b")
@@ -215,7 +225,7 @@ def _blocks(near: DataFrame, roots: DataFrame, one: DataFrame) -> DataFrame:
 def _within(size: int, percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", ignore_index=True)
-        signs = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(-1, SYMBOLS)
+        signs = _rows(part["signature"])
         node, block = part["node"].to_numpy(), part["block"].to_numpy()
         two = part["i"].iat[0] != part["j"].iat[0]
         above: dict[int, int] = {}
@@ -277,15 +287,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     one = nodes.groupBy("node").agg(F.first("signature").alias("signature"), F.max("n").alias("n"))
     keys = one.mapInPandas(_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
-    shared = keys.groupBy("key").agg(F.min(order).alias("lead"), F.max(order).alias("last")).where("lead <> last")
-    bucket = stored(keys.join(shared.select("key", F.col("lead.n").alias("leader")), "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("rows"))
+    bucket = stored(keys.join(shared.where("leader <> last").drop("last"), "key"), "buckets")
 
     distance = F.pandas_udf(_distance, "int")
     sign = lambda name, out: one.select(F.col("node").alias(name), F.col("signature").alias(out))
     stars = bucket.where("node <> leader").select("node", "leader").distinct()
     stars = stars.join(sign("node", "s"), "node").join(sign("leader", "t"), "leader")
-    stars = stored(stars.select("node", "leader", distance("s", "t").alias("d")), "stars")
+    compared = F.pandas_udf(_compared, "d int, p0 long, p1 long, p2 long, p3 long")
+    stars = stored(stars.select("node", "leader", compared("s", "t").alias("c")).select("node", "leader", "c.*"), "stars")
 
     texts = base.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
     linked = F.pandas_udf(_linked(size, percent), "boolean")("text_a", "text_b")
