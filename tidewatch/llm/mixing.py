@@ -15,7 +15,7 @@ REPEATS = 3
 #: Output shards, a power of two, and blocks of a shard on average.
 LEVELS, BLOCKS_PER_SHARD = 4, 64
 #: Rows of a source that one task puts in order.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
