@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 #: Parts into which every group of equal texts is dealt before the groups meet.
 SALTS = 32
+#: A group with more than one HOT-th of all rows is looked up by broadcast; there are fewer than HOT such.
+HOT = 1000
 
 
 def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -28,12 +30,20 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
 
+    ids = stored(rows.select("doc_id", "digest"), "digests")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     parts = rows.groupBy("digest", salt.alias("salt"), "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     whole = parts.groupBy("digest", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     kept = whole.groupBy("digest").agg(
         F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
     sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("group_size"))
-    out = rows.select("doc_id", "digest").join(kept.select("digest", "keep_id", sure.alias("group_size")), "digest")
+    kept = stored(kept.select("digest", "keep_id", sure.alias("group_size")), "groups")
+
+    # fewer than HOT groups can hold a HOT-th of all rows each; those are broadcast, so no task gets a whole one
+    least = ids.count() / HOT
+    hot = F.broadcast(kept.where(F.col("group_size") > least).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
+    dealt = ids.join(hot, "digest", "left")
+    cold = dealt.where("hot_size is null").select("doc_id", "digest").join(kept, "digest")
+    out = cold.select("doc_id", "digest", "keep_id", "group_size").union(dealt.where("hot_size is not null").select("doc_id", "digest", "hot_id", "hot_size"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                       F.lower(F.hex("digest")).alias("text_sha256"))
