@@ -10,10 +10,11 @@ so every chunk is indexed once for each place where that one error may stand: no
 within the radius is missed.
 
 Nodes that share an index key form a bucket. A bucket is compared with its leader
-alone, and links confirmed on the full sets join nodes to components. Nodes near a
-leader that still hang in different components are compared in blocks of bounded size,
+alone, and links confirmed on the full sets join nodes to components. Nodes far from it are
+compared with a second leader. Nodes that hang together by a leader are a group; where
+its nodes hang in different components they are compared in blocks of bounded size,
 where every pair within the radius is looked at on the full sets unless links already
-join it. A pair that meets in a bucket far from its leader is looked at alone, unless the
+join it. A pair that meets in a bucket from two groups is looked at alone, unless the
 triangle inequality on the two distances to the leader or two bits of each symbol rule it out. So a group of n
 copies costs n comparisons per key, and no pair within the radius is left out.
 """
@@ -183,29 +184,44 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         before = after
 
 
-def _far(bucket: DataFrame, stars: DataFrame, roots: DataFrame, sign) -> DataFrame:
-    """Pairs (a, b) within the radius that share a bucket, of which one at least is not near the bucket's leader."""
-    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _differ(x: str, y: str) -> Column:
+    """Symbols whose lowest two bits differ: at most the distance, which rules out most pairs where they meet."""
+    xor = lambda k: F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))
+    return sum(F.bit_count(xor(k).bitwiseOR(xor(k + 2))) for k in (0, 1))
+
+
+def _second(bucket: DataFrame, stars: DataFrame, sign) -> DataFrame:
+    """(a, b) within the radius of a second leader, drawn anew for each key among the nodes far from the first."""
+    far = bucket.where("rows > 2").join(stars.where(f"d > {RADIUS}"), ["node", "leader"])
+    drawn = far.groupBy("key").agg(F.min_by(F.struct("node", "p0", "p1", "p2", "p3"), F.xxhash64("key", "node")).alias("s"))
+    met = far.join(drawn.select("key", "s.node", *[f"s.p{k}" for k in range(4)]).toDF("key", "second", *[f"sp{k}" for k in range(4)]), "key")
+    met = met.where((F.col("node") != F.col("second")) & (_differ("", "s") <= RADIUS))
+    return _close(met.select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct(), sign)
+
+
+def _close(pairs: DataFrame, sign) -> DataFrame:
+    """The pairs (a, b) within the radius."""
+    both = pairs.join(sign("a", "s"), "a").join(sign("b", "t"), "b")
+    return both.where(F.pandas_udf(_distance, "int")("s", "t") <= RADIUS).select("a", "b")
+
+
+def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, sign) -> DataFrame:
+    """Pairs (a, b) within the radius that share a bucket and are of different groups."""
+    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(group, "node", "left").withColumn("group_id", F.coalesce("group_id", "node"))
     x, y = others.where(f"d > {RADIUS}").alias("x"), others.alias("y")
-    # two bits of a symbol differ in fewer places than the symbols do, which rules out most pairs where they meet
-    differ = sum(F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}")).bitwiseOR(F.col(f"x.p{k + 2}").bitwiseXOR(F.col(f"y.p{k + 2}")))) for k in (0, 1))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
-                 & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (differ <= RADIUS))
-    met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    met = met.join(sign("a", "s"), "a").join(sign("b", "t"), "b")
-    return met.where(F.pandas_udf(_distance, "int")("s", "t") <= RADIUS).select("a", "b")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group_id") != F.col("y.group_id")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
+                 & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (_differ("x.", "y.") <= RADIUS))
+    return _close(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sign)
 
 
-def _blocks(near: DataFrame, roots: DataFrame, one: DataFrame) -> DataFrame:
+def _blocks(group: DataFrame, roots: DataFrame, one: DataFrame) -> DataFrame:
     """Rows (group_id, i, j, node, root, main) of groups whose nodes hang together by signature but not by links.
 
-    ``near`` holds the (a, b) of nodes near a leader. A group's largest component and its other
+    ``group`` holds the (node, group_id) of nodes near a leader. A group's largest component and its other
     nodes are cut into blocks apart; each pair of blocks, but for two of the largest
     component, is one task's work. A block holds about ``BLOCK`` nodes or ``BLOCK_SHINGLES``
     shingles, whichever are fewer.
     """
-    group = components(near, "groups").select("node", F.col("root").alias("group_id"))
-    group = group.union(group.select("group_id", "group_id").distinct())
     nodes = group.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(one.select("node", "n"), "node")
     parts = nodes.groupBy("group_id", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     whole = parts.groupBy("group_id").agg(F.max(F.struct("rows", "root", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
@@ -302,10 +318,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     near = stars.where(f"d <= {RADIUS}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = stored(_confirmed(near, texts, linked), "links")
     roots = stored(components(links), "roots")
-    apart = _blocks(near, roots, one)
+    group = components(near.union(stored(_second(bucket, stars, sign), "near")), "groups").select("node", F.col("root").alias("group_id"))
+    group = stored(group.union(group.select("group_id", "group_id").distinct()), "groups")
+    apart = _blocks(group, roots, one)
     apart = stored(apart.join(one.select("node", "signature"), "node").join(texts, "node"), "blocks")
     inside = apart.groupBy("group_id", "i", "j").applyInPandas(_within(size, percent), "a long, b long")
-    links = links.union(stored(inside, "links")).union(stored(_confirmed(_far(bucket, stars, roots, sign), texts, linked), "links"))
+    links = links.union(stored(inside, "links")).union(stored(_confirmed(_far(bucket, stars, group, sign), texts, linked), "links"))
     final = components(links.select("a", "b").union(same), "classes")
 
     out = sets.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
