@@ -21,10 +21,12 @@ BUCKETS, FEATURES, FACTORS = 1 << 20, 4096, 6
 #: Beginnings of words that are terms beside the whole words, so unseen forms of a word still count.
 PREFIXES = (4, 5)
 #: Standard errors by which a term's odds must differ between the labels to be a feature.
-MIN_Z = 3.5
+MIN_Z = 4.0
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.05, 1e-3
+EPOCHS, BATCH, RATE = 12, 64, 0.03
+#: Pull of the linear weights to 0, of the factors to 0, and of the bias to the log odds of the sample.
+DECAY, FACTOR_DECAY, BIAS_DECAY = 1e-5, 1e-2, 1e-2
 _WORD = re.compile(r"\w+")
 
 
@@ -81,7 +83,7 @@ def telling_terms(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     error = np.sqrt(1 / (yes + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (no + 0.5) + 1 / (n_no - no + 0.5))
     z = np.where(yes + no >= 3, np.abs(odds) / error, 0)
     # a term of one label alone has a wide error; its count tells as well
-    alone = np.where((no == 0) & (yes >= 4) | (yes == 0) & (no >= 40 * max(1.0, n_no / max(n_yes, 1))), MIN_Z, 0)
+    alone = np.where((no == 0) & (yes >= 6) | (yes == 0) & (no >= 40 * max(1.0, n_no / max(n_yes, 1))), MIN_Z, 0)
     z = np.maximum(z, alone)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return best[z[best] >= MIN_Z]
@@ -97,7 +99,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 5) -> Machine:
     n = max(1, len(kept))
     p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(n), "v": rng.normal(0, 0.03, (n, FACTORS))}
     m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    step = 0
+    prior, step = p["b"].copy(), 0
     for _ in range(EPOCHS if len(label) else 0):
         for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // BATCH)):
             lengths = np.array([len(data[i]) for i in part])
@@ -108,7 +110,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 5) -> Machine:
             np.add.at(sums, of, v)
             z = p["b"][0] + np.bincount(of, p["w"][ids], len(part)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (v**2).sum(1), len(part)))
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part)
-            g = {"b": np.array([err.sum()]), "w": np.bincount(ids, err[of], n) + DECAY * p["w"], "v": DECAY * p["v"]}
+            g = {"b": err.sum() + BIAS_DECAY * (p["b"] - prior), "w": np.bincount(ids, err[of], n) + DECAY * p["w"], "v": FACTOR_DECAY * p["v"]}
             np.add.at(g["v"], ids, err[of, None] * (sums[of] - v))
             step += 1
             for k in p:
