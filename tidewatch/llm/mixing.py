@@ -126,11 +126,11 @@ def mix(docs: DataFrame, levels: int = LEVELS, blocks_per_shard: int = BLOCKS_PE
     first, last = F.when(taken, of("low")), F.when(taken, of("high - 1"))
     rows = rows.withColumn("block", F.explode_outer(F.when(taken, F.sequence(first, last)))).where("block is not null or times = 0")
     rows = rows.withColumn("begin", F.expr("(block * words + blocks - 1) div blocks")).withColumn("end", F.expr("((block + 1) * words + blocks - 1) div blocks"))
-    n = F.least("high", "end") - F.greatest("low", "begin")
+    n = F.when(F.col("x.block").isNotNull(), F.least("high", "end") - F.greatest("low", "begin")).otherwise(0)
     few = bounded(tree, tree.count())
     out = rows.alias("x").join(few.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source")) & (F.col("x.block") == F.col("t.block")), "left")
     return out.select("x.doc_id", "x.source", "x.size", "x.source_size", "x.target", F.struct("x.bucket", "x.row").alias("row"), "t.shard", "x.block", "x.times",
-                      (F.greatest("x.low", "x.begin") - F.col("x.low")).alias("first_word"), F.coalesce(n, F.lit(0)).alias("n_words"),
+                      F.when(F.col("x.block").isNotNull(), F.greatest("x.low", "x.begin") - F.col("x.low")).otherwise(0).cast("long").alias("first_word"), n.cast("long").alias("n_words"),
                       F.xxhash64(F.lit(seed), "t.shard", "x.times", "x.key", "x.block").alias("place"))
 
 
