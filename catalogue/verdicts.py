@@ -59,8 +59,8 @@ def dataset_profile(spark, sf):
 
 register("dataset_profile", dataset_profile, sql(["scored"], """SELECT t.n AS total_flows, true AS labelled, CAST(t.h AS DOUBLE) / t.n AS attack_rate, truth AS label_class, count(*) AS rows
 FROM scored, (SELECT count(*) AS n, count(*) FILTER (truth <> 'BENIGN') AS h FROM scored) t WHERE truth IS NOT NULL GROUP BY 1, 2, 3, 4"""))
-register("most_suspicious", lambda s, d: scoring.top_suspicious(fx.scored(s, d), "event_id", 20000).select("event_id", "prediction", "confidence"),
-         sql(["scored"], "SELECT event_id, prediction, round(confidence, 4) AS confidence FROM (SELECT * FROM scored ORDER BY event_id LIMIT 20000) WHERE is_attack ORDER BY round(confidence, 4) DESC, event_id LIMIT 10"))
+register("most_suspicious", lambda s, d: scoring.top_suspicious(fx.scored(s, d), "event_id").select("event_id", "prediction", "confidence"),
+         sql(["scored"], "SELECT event_id, prediction, round(confidence, 4) AS confidence FROM scored WHERE is_attack ORDER BY round(confidence, 4) DESC, event_id LIMIT 10"))
 register("flow_page", lambda s, d: scoring.page(scoring.threats(fx.scored(s, d)), "event_id", 3).select("event_id", "prediction"),
          sql(["scored"], "SELECT event_id, prediction FROM scored WHERE is_attack ORDER BY event_id LIMIT 20 OFFSET 60"))
 register(

@@ -52,7 +52,7 @@ def prefix_sums(
     inside = Window.partitionBy(*keys).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(offsets, keys)
-    out = joined.withColumns({o: F.sum(src).over(running) + F.col(f"_o_{o}") for o, src in sums.items()})
+    out = joined.withColumns({o: F.coalesce(F.sum(src).over(running), F.lit(0)) + F.col(f"_o_{o}") for o, src in sums.items()})
     if lead:
         out = out.withColumn(lead[0], F.coalesce(F.lead(lead[1]).over(inside), F.col("_next_first")))
     return out.drop(*[f"_o_{o}" for o in sums], "_next_first")

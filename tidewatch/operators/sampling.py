@@ -182,9 +182,9 @@ def uniform_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = config
 
 
 def train_test_split(df, stratum, key, test_fraction=config.TEST_FRACTION, seed=config.SEED, strata=UNKNOWN):
-    """Add ``split`` = train / test, stratified by class with exact sizes."""
+    """Add ``split`` = train / test, stratified by class with exact sizes; null where the class is missing."""
     marked = take_quota(df, stratum, key, split_quota(stratum, test_fraction), seed, strata, mark="_train")
-    return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
+    return marked.withColumn("split", F.when(F.col(stratum).isNotNull(), F.when(F.col("_train"), "train").otherwise("test"))).drop("_train")
 
 
 def mixed_sample(df, rows, attack_fraction, cls, key, seed=config.SEED):

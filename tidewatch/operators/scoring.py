@@ -109,12 +109,9 @@ def threats(df: DataFrame) -> DataFrame:
     return df.where("is_attack")
 
 
-def top_suspicious(
-    scored: DataFrame, order: str, returned: int = config.MAX_RETURNED_ROWS, limit: int = 10
-) -> DataFrame:
-    """Most confident attacks among the returned rows, by 4-digit confidence, then row order."""
-    shown = first_rows(scored, order, returned).where("is_attack")
-    return shown.withColumn("confidence", F.round("confidence", 4)).orderBy(F.desc("confidence"), order).limit(limit)
+def top_suspicious(scored: DataFrame, order: str, limit: int = 10) -> DataFrame:
+    """Most confident attacks of all rows, by 4-digit confidence, then row order."""
+    return scored.where("is_attack").withColumn("confidence", F.round("confidence", 4)).orderBy(F.desc("confidence"), order).limit(limit)
 
 
 def ranked_probabilities(scored: DataFrame, keep: Sequence[str], first: int = 4, floor: float = 0.001) -> DataFrame:

@@ -85,14 +85,14 @@ def analyze(
         "summary": summary,
         "class_breakdown": scoring.class_breakdown(scored, classes),
         "confidence_histogram": scoring.confidence_histogram(scored),
-        "top_suspicious": scoring.top_suspicious(scored, row, returned),
+        "top_suspicious": scoring.top_suspicious(scored, row),
         "global_attribution": scoring.top_global(attribution.global_importance(parts, params.features, len(classes))),
         "rows": listing,
         "truth_accuracy": scoring.accuracy(scored) if "truth" in scored.columns else None,
         "filled_cells": scored.agg(F.sum("n_filled").alias("n_filled_cells")),
         "coverage": absent,
         "columns_supplied": len(export.columns),
-        "unused_columns": unused[:20],
+        "unused_columns": unused,
         "n_unused_columns": len(unused),
     }
 
