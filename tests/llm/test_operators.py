@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +214,27 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert decontamination.contamination(docs, items).where("contaminated").count() == 0
     assert minhash_dedup.near_duplicates(docs).where("not kept").count() == 0
     assert not re.search("Cartesian", corpus_pipeline.STAGES[-1][1](spark, docs, SF)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_first_meeting_is_the_first_shared_key(spark):
+    rng = np.random.default_rng(3)
+    m = minhash_dedup
+    rows = []
+    for k in range(300):
+        a = rng.integers(0, 256, m.SYMBOLS, dtype=np.uint8)
+        b = a.copy()
+        at = rng.choice(m.SYMBOLS, k % (m.RADIUS + 1), replace=False)
+        b[at] ^= rng.integers(1, 256, len(at), dtype=np.uint8)
+        rows.append((k, a, b))
+    planes = lambda which: m._planes(pd.Series([r[which].tobytes() for r in rows]))
+    frame_of = lambda which: spark.createDataFrame([(r[0], [int(v) for v in p]) for r, p in zip(rows, planes(which))], "k int, planes array<long>")
+    low, high = m._unlike()
+    first = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), m._first_meeting)[0]
+    got = frame_of(1).alias("x").join(frame_of(2).alias("y"), F.col("x.k") == F.col("y.k")).select("x.k", (F.bit_count(low) + F.bit_count(high)).alias("d"), first.alias("first")).collect()
+    assert len(got) == 300
+    for r in got:
+        _, a, b = rows[r["k"]]
+        assert r["d"] == (a != b).sum()
+        x, y = m.index_keys(np.stack([a, b]))
+        same = np.flatnonzero(x == y)
+        assert r["first"] == same[0] and (int(x[same[0]]) & m.PLACES) == same[0]

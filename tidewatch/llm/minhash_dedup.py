@@ -14,8 +14,8 @@ alone, and links confirmed on the full sets join nodes to components. Nodes far
 compared with a second leader. Nodes that hang together by a leader are a group; where
 its nodes hang in different components they are compared in blocks of bounded size,
 where every pair within the radius is looked at on the full sets unless links already
-join it. A pair that meets in a bucket from two groups is looked at alone, unless the
-triangle inequality on the two distances to the leader or two bits of each symbol rule it out. So a group of n
+join it. A pair within the radius that meets in a bucket from two groups is looked at alone, at
+the first of the keys it shares. So a group of n
 copies costs n comparisons per key, and no pair within the radius is left out.
 """
 
@@ -34,6 +34,8 @@ from .common import stored
 CHUNKS, WIDTH = 21, 6
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
+#: Bits of an index key that hold its place among the keys of a signature.
+PLACES = 127
 #: Shingles hashed at once, which bounds the memory of a very long text.
 STEP = 1024
 #: Rows of one block of a large bucket.
@@ -86,7 +88,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def index_keys(signatures: np.ndarray) -> np.ndarray:
-    """Per signature, one key for every chunk and every place of the one error in it."""
+    """Per signature, one key for every chunk and every place of the one error in it; the lowest bits hold that place."""
     chunks = signatures.reshape(len(signatures), CHUNKS, WIDTH).astype(np.uint64) + np.uint64(1)
     keys = []
     for c in range(CHUNKS):
@@ -96,7 +98,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
             x = np.full(len(signatures), c * WIDTH + place + 1, np.uint64)
             for j in keep:
                 x = _mixed(x + terms[:, j, place])
-            keys.append(x)
+            keys.append(x & ~np.uint64(PLACES) | np.uint64(c * WIDTH + place))
     return np.stack(keys, 1).view(np.int64) if len(signatures) else np.empty((0, SYMBOLS), np.int64)
 
 
@@ -205,13 +207,57 @@ def _close(pairs: DataFrame, sign) -> DataFrame:
     return both.where(F.pandas_udf(_distance, "int")("s", "t") <= RADIUS).select("a", "b")
 
 
-def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, sign) -> DataFrame:
-    """Pairs (a, b) within the radius that share a bucket and are of different groups."""
-    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(group, "node", "left").withColumn("group_id", F.coalesce("group_id", "node"))
-    x, y = others.where(f"d > {RADIUS}").alias("x"), others.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group_id") != F.col("y.group_id")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
-                 & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (_differ("x.", "y.") <= RADIUS))
-    return _close(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sign)
+def _planes(a: pd.Series) -> pd.Series:
+    """The bits of the symbols, one plane for each of the 8 bits: two longs a plane."""
+    x = _rows(a)
+    bits = [np.packbits((x >> k) & 1, axis=1) for k in range(8)]
+    return pd.Series(list(np.ascontiguousarray(np.concatenate(bits, 1)).view(">i8").astype(np.int64)))
+
+
+def _unlike() -> list[Column]:
+    """Two longs of 64 and 62 bits, one for each symbol, set where x.planes and y.planes differ."""
+    xor = lambda k: F.col("x.planes")[k].bitwiseXOR(F.col("y.planes")[k])
+    out = [xor(0), xor(1)]
+    for k in range(2, 16):
+        out[k % 2] = out[k % 2].bitwiseOR(xor(k))
+    return out
+
+
+def _first_meeting(unlike: Column) -> Column:
+    """The first index place of a pair: of the first chunk with one error at most, the place of that error or 0."""
+    low, high = unlike["low"], unlike["high"]
+    places = []
+    for c in range(CHUNKS):
+        end = (c + 1) * WIDTH
+        if end <= 64:
+            chunk = F.shiftrightunsigned(low, 64 - end)
+        elif end - WIDTH >= 64:
+            chunk = F.shiftrightunsigned(high, 128 - end)
+        else:
+            chunk = F.shiftleft(low, end - 64).bitwiseOR(F.shiftrightunsigned(high, 128 - end))
+        chunk = chunk.bitwiseAND(F.lit(2**WIDTH - 1).cast("long"))
+        places.append(F.when(chunk == 0, c * WIDTH).when(F.bit_count(chunk) == 1, end - 1 - F.bit_count(chunk - 1)))
+    return F.coalesce(*places)
+
+
+def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, one: DataFrame) -> DataFrame:
+    """Pairs (a, b) within the radius that share a bucket and are of different groups, each once.
+
+    A pair shares up to ``SYMBOLS`` keys; it is taken at its first. Buckets without a far node or of
+    one group are left out, and the distance is counted on the bit planes where a pair meets.
+    """
+    others = bucket.where("rows > 2").join(stars.select("node", "leader", "d"), ["node", "leader"]).join(group, "node", "left")
+    others = others.select("key", "node", "d", F.coalesce("group_id", "node").alias("group_id"))
+    live = others.groupBy("key").agg(F.max("d").alias("d"), F.min("group_id").alias("g"), F.max("group_id").alias("h"))
+    planes = one.select("node", F.pandas_udf(_planes, "array<long>")("signature").alias("planes"))
+    others = stored(others.join(live.where(f"d > {RADIUS} and g <> h").select("key"), "key", "left_semi").join(planes, "node"), "far")
+    low, high = _unlike()
+    first = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), _first_meeting)[0]
+    met = others.where(f"d > {RADIUS}").alias("x").join(
+        others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group_id") != F.col("y.group_id")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
+        & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (F.bit_count(low) + F.bit_count(high) <= RADIUS)
+        & (first == F.col("x.key").bitwiseAND(F.lit(PLACES).cast("long"))))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _blocks(group: DataFrame, roots: DataFrame, one: DataFrame) -> DataFrame:
@@ -323,7 +369,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     apart = _blocks(group, roots, one)
     apart = stored(apart.join(one.select("node", "signature"), "node").join(texts, "node"), "blocks")
     inside = apart.groupBy("group_id", "i", "j").applyInPandas(_within(size, percent), "a long, b long")
-    links = links.union(stored(inside, "links")).union(stored(_confirmed(_far(bucket, stars, group, sign), texts, linked), "links"))
+    links = links.union(stored(inside, "links")).union(stored(_confirmed(_far(bucket, stars, group, one), texts, linked), "links"))
     final = components(links.select("a", "b").union(same), "classes")
 
     out = sets.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
