@@ -120,6 +120,8 @@ def test_analysis_is_the_same_for_every_format(spark, table, tmp_path):
     for n in ("x.csv", "x.json", "x.jsonl", "x.parquet"):
         export = sources.read_export(spark, str(tmp_path / n))
         export = export.withColumn("flow_id", F.col("flow_id").cast("long"))
+        every = analysis.analyze(export, model, params, classes=THREE)
+        assert every["rows"].where("top_features is null").count() == 0 and not every["summary"].first()["truncated"]
         out = analysis.analyze(export, model, params, classes=THREE, returned=100, explained=50)
         s = out["summary"].first()
         assert s["total_connections"] == 120 and s["total_attacks"] + s["total_benign"] == 120 and s["truncated"]

@@ -38,17 +38,19 @@ def analyze(
     row: str = "flow_id",
     classes: dict[str, int] = config.CLASS_IDS,
     scored_rows: int | None = None,
-    returned: int = config.MAX_RETURNED_ROWS,
-    explained: int = config.MAX_EXPLAINED_ROWS,
+    returned: int | None = None,
+    explained: int | None = None,
     high: float = config.THREAT_HIGH,
     medium: float = config.THREAT_MEDIUM,
 ) -> dict[str, object]:
     """Everything the analyst sees, as DataFrames, plus the schema account.
 
     ``row`` orders the flows. All rows are scored; ``scored_rows`` sets the first-N
-    limit where a caller wants the interactive behaviour. Only the row listing and
-    its explanations are limited to the first rows.
+    limit where a caller wants the interactive behaviour. All rows are attributed and
+    listed; ``returned`` and ``explained`` shorten the listing and the attribution to the
+    first rows for a caller who asks, such as ``config.MAX_RETURNED_ROWS``.
     """
+    first = lambda df, n: df if n is None else scoring.first_rows(df, row, n)
     if row not in export.columns:
         raise ValueError(f"the export needs an ordering column {row!r}")
     if export.isEmpty():
@@ -60,14 +62,14 @@ def analyze(
     stored = shared_dir(export.sparkSession, "scored")
     score_export(export, model, params, row, classes).write.parquet(stored)
     scored = export.sparkSession.read.parquet(stored)
-    shown = scoring.first_rows(scored, row, min(returned, explained))
+    shown = first(scored, explained)
     k = F.array_position(F.array(*[F.lit(n) for n in sorted(classes, key=classes.get)]), F.col("prediction")) - 1
     parts = attribution.tree_contributions(
         shown.withColumn("predicted_id", k), model, params.features, row, len(classes)
     )
     raw = display_values(normalized, params, [row]).select(row, F.array(*[c(f) for f in params.features]).alias("_raw"))
     listing = (
-        scoring.first_rows(scored, row, returned).join(parts, row, "left").join(raw, row)
+        first(scored, returned).join(parts, row, "left").join(raw, row)
         .withColumn("top_features", scoring.top_features(F.col("contribution"), F.col("_raw"), params.features, F.col("is_attack")))
         .select(row, "prediction", F.round("confidence", 4).alias("confidence"), "is_attack", "probabilities", "top_features")
     )
@@ -77,7 +79,7 @@ def analyze(
         {
             "rows_returned": F.least("total_connections", F.lit(returned)),
             "rows_explained": F.least("total_connections", F.lit(explained)),
-            "truncated": F.col("total_connections") > returned,
+            "truncated": F.coalesce(F.col("total_connections") > F.lit(returned).cast("long"), F.lit(False)),
         }
     )
     return {
@@ -99,13 +101,16 @@ def analyze(
 
 def attribution_report(
     scored: DataFrame, model, features: Sequence[str], row: str, groups, classes: dict[str, int] = config.CLASS_IDS,
-    rows: int = 1000, seed: int = config.SEED,
+    rows: int | None = None, seed: int = config.SEED,
 ) -> dict[str, DataFrame]:
-    """Sampled rows, global top features, and one explained example per class group."""
+    """Global top features and one explained example per class group.
+
+    All rows are explained; ``rows`` sets the size of a sample where a caller wants one.
+    """
     from ..operators.sampling import uniform_sample
 
     names = sorted(classes, key=classes.get)
-    sample = uniform_sample(scored, rows, [row], seed)
+    sample = scored if rows is None else uniform_sample(scored, rows, [row], seed)
     k = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("prediction")) - 1
     parts = attribution.tree_contributions(sample.withColumn("predicted_id", k), model, features, row, len(classes))
     values = sample.select(row, "truth", "prediction", "is_attack", F.array(*[c(f) for f in features]).alias("_x"))
