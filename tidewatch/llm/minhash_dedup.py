@@ -250,7 +250,10 @@ def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, one: DataFrame)
     others = others.select("key", "node", "d", F.coalesce("group_id", "node").alias("group_id"))
     live = others.groupBy("key").agg(F.max("d").alias("d"), F.min("group_id").alias("g"), F.max("group_id").alias("h"))
     planes = one.select("node", F.pandas_udf(_planes, "array<long>")("signature").alias("planes"))
-    others = stored(others.join(live.where(f"d > {RADIUS} and g <> h").select("key"), "key", "left_semi").join(planes, "node"), "far")
+    others = others.join(live.where(f"d > {RADIUS} and g <> h").select("key"), "key", "left_semi")
+    # a node has at most SYMBOLS keys; its planes are looked up once for all of them
+    others = others.groupBy("node").agg(F.collect_list(F.struct("key", "d", "group_id")).alias("met")).join(planes, "node")
+    others = stored(others.select("node", "planes", F.inline("met")), "far")
     low, high = _unlike()
     first = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), _first_meeting)[0]
     met = others.where(f"d > {RADIUS}").alias("x").join(
