@@ -40,8 +40,8 @@ register(
 )
 register("class_breakdown", lambda s, d: scoring.class_breakdown(fx.scored(s, d)),
          sql(["scored"], "SELECT c.class_id, c.label_class, count(s.event_id) AS n FROM classes c LEFT JOIN scored s ON s.prediction = c.label_class GROUP BY 1, 2"))
-register("class_breakdown_nonzero", lambda s, d: scoring.nonzero_classes(scoring.class_breakdown(fx.scored(s, d).where("event_type = 'click'"))),
-         sql(["scored"], "SELECT c.class_id, c.label_class, count(*) AS n FROM classes c JOIN scored s ON s.prediction = c.label_class WHERE s.event_type = 'click' GROUP BY 1, 2"))
+register("class_breakdown_nonzero", lambda s, d: scoring.nonzero_classes(scoring.class_breakdown(fx.scored(s, d).withColumn("prediction", F.expr("CASE WHEN prediction = 'Botnet' THEN 'BENIGN' ELSE prediction END")))),
+         sql(["scored"], "SELECT c.class_id, c.label_class, count(*) AS n FROM classes c JOIN scored s ON CASE WHEN s.prediction = 'Botnet' THEN 'BENIGN' ELSE s.prediction END = c.label_class GROUP BY 1, 2"))
 register("attack_totals", lambda s, d: scoring.attack_totals(fx.scored(s, d)),
          sql(["scored"], """SELECT n AS total_connections, a AS total_attacks, n - a AS total_benign, CAST(a AS DOUBLE) / n AS attack_rate,
  CASE WHEN CAST(a AS DOUBLE) / n >= 0.2 THEN 'HIGH' WHEN CAST(a AS DOUBLE) / n >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level FROM (SELECT count(*) AS n, count(*) FILTER (is_attack) AS a FROM scored)"""))
