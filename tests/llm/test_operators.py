@@ -238,3 +238,17 @@ def test_first_meeting_is_the_first_shared_key(spark):
         x, y = m.index_keys(np.stack([a, b]))
         same = np.flatnonzero(x == y)
         assert r["first"] == same[0] and (int(x[same[0]]) & m.PLACES) == same[0]
+
+
+def test_pairs_of_terms_tell_where_no_term_does():
+    rng = np.random.default_rng(1)
+    rows, label = [], []
+    for k in range(800):
+        a, b = k % 2, k // 2 % 2
+        rows.append(np.array([7] * a + [9] * b + sorted(rng.choice(np.arange(20, 60), 5, replace=False).tolist()), np.int64))
+        label.append(int(a == b))
+    machine = toxicity.fit(rows, np.array(label, float))
+    x, y = machine.feature_of[7], machine.feature_of[9]
+    assert machine.factor[x] @ machine.factor[y] > 1
+    score = [machine.score(np.array([machine.feature_of[t] for t in r], np.int64)) for r in rows]
+    assert np.mean([(s >= 0.5) == y for s, y in zip(score, label)]) > 0.95

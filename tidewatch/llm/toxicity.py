@@ -22,11 +22,14 @@ BUCKETS, FEATURES, FACTORS = 1 << 20, 4096, 6
 PREFIXES = (4, 5)
 #: Standard errors by which a term's odds must differ between the labels to be a feature.
 MIN_Z = 4.0
+#: Standard errors by which a pair must tell more than its terms alone; there are millions of pairs.
+MIN_PAIR_Z = 6.0
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE = 12, 64, 0.03
-#: Pull of the linear weights to 0, of the factors to 0, and of the bias to the log odds of the sample.
-DECAY, FACTOR_DECAY, BIAS_DECAY = 1e-5, 1e-2, 1e-2
+#: Pull of the linear weights to 0, of the factors of a batch's terms to 0, and of the bias to the log odds of the sample.
+#: 0 is a fixed point of a factor's gradient, so a strong pull ends the pair part of the machine.
+DECAY, FACTOR_DECAY, BIAS_DECAY = 1e-5, 1e-5, 1e-2
 _WORD = re.compile(r"\w+")
 
 
@@ -74,19 +77,57 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def telling_terms(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Buckets whose odds differ most between the labels."""
-    yes = np.bincount(np.concatenate([r for r, y in zip(rows, label) if y] or [np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
-    no = np.bincount(np.concatenate([r for r, y in zip(rows, label) if not y] or [np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
-    n_yes, n_no = label.sum(), len(label) - label.sum()
+def _apart(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float) -> np.ndarray:
+    """Standard errors by which odds differ between the labels, of what stands in ``yes`` and ``no`` rows; rare things tell nothing."""
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
     error = np.sqrt(1 / (yes + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (no + 0.5) + 1 / (n_no - no + 0.5))
-    z = np.where(yes + no >= 3, np.abs(odds) / error, 0)
+    return np.where(yes + no >= 3, np.abs(odds) / error, 0)
+
+
+def pair_gains(rows: list[np.ndarray], label: np.ndarray, terms: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """For each of ``terms``, how many standard errors a pair with another of them tells more than both alone (``z``)."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    # a bit for each row and term, and the counts of a few hundred terms at a time, as the driver is small
+    bits = np.zeros((len(rows), (len(terms) + 7) // 8), np.uint8)
+    for i, r in enumerate(rows):
+        at, line = place[r], np.zeros(len(terms), bool)
+        line[at[at >= 0]] = True
+        bits[i] = np.packbits(line)
+    gains, n_yes, n_no = np.zeros(len(terms)), label.sum(), len(label) - label.sum()
+    for start in range(0, len(terms), 256):
+        some = slice(start, start + 256)
+        yes, no = np.zeros((2, len(terms[some]), len(terms)), np.float32)
+        for count, of in ((yes, np.flatnonzero(label == 1)), (no, np.flatnonzero(label != 1))):
+            for k in range(0, len(of), 500):
+                block = np.unpackbits(bits[of[k : k + 500]], axis=1, count=len(terms)).astype(np.float32)
+                count += block[:, some].T @ block
+        for i in range(len(yes)):
+            gain = _apart(yes[i].astype(float), no[i].astype(float), n_yes, n_no) - np.maximum(z[start + i], z)
+            gain[start + i] = 0
+            gains[start + i] = gain.max()
+    return gains
+
+
+def telling_terms(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Buckets whose odds differ most between the labels, then those that tell with another, then the most frequent."""
+    yes, no = np.zeros((2, BUCKETS), np.int64)
+    for r, y in zip(rows, label):
+        (yes if y else no)[r] += 1  # the terms of a row are distinct
+    n_yes, n_no = label.sum(), len(label) - label.sum()
+    z = _apart(yes, no, n_yes, n_no)
     # a term of one label alone has a wide error; its count tells as well
     alone = np.where((no == 0) & (yes >= 6) | (yes == 0) & (no >= 40 * max(1.0, n_no / max(n_yes, 1))), MIN_Z, 0)
     z = np.maximum(z, alone)
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    return best[z[best] >= MIN_Z]
+    best = best[z[best] >= MIN_Z]
+    # a term of every row is a second bias
+    often = np.where((yes + no >= 3) & (yes + no < len(label)), yes + no, 0)
+    often = np.argsort(-often, kind="stable")[: np.count_nonzero(often)][:FEATURES]
+    gains = pair_gains(rows, label, often, z[often])
+    paired = often[np.argsort(-gains, kind="stable")][: np.count_nonzero(gains >= MIN_PAIR_Z)]
+    every = np.concatenate([best, paired, often])
+    return every[np.sort(np.unique(every, return_index=True)[1])][:FEATURES]
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 5) -> Machine:
@@ -110,7 +151,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 5) -> Machine:
             np.add.at(sums, of, v)
             z = p["b"][0] + np.bincount(of, p["w"][ids], len(part)) + 0.5 * ((sums**2).sum(1) - np.bincount(of, (v**2).sum(1), len(part)))
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[part]) / len(part)
-            g = {"b": err.sum() + BIAS_DECAY * (p["b"] - prior), "w": np.bincount(ids, err[of], n) + DECAY * p["w"], "v": FACTOR_DECAY * p["v"]}
+            g = {"b": err.sum() + BIAS_DECAY * (p["b"] - prior), "w": np.bincount(ids, err[of], n) + DECAY * p["w"], "v": np.zeros_like(p["v"])}
+            here = np.unique(ids)
+            g["v"][here] = FACTOR_DECAY * p["v"][here]
             np.add.at(g["v"], ids, err[of, None] * (sums[of] - v))
             step += 1
             for k in p:
@@ -136,7 +179,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     sample = labelled_sample(docs, labels, "toxic", rows).mapInPandas(_terms, "label int, terms array<int>").toPandas()
-    return fit([np.asarray(t, np.int64) for t in sample["terms"]], sample["label"].to_numpy(float))
+    return fit([np.asarray(t, np.int32) for t in sample.pop("terms")], sample["label"].to_numpy(float))
 
 
 def scorer(machine: Machine) -> Callable[[Column], Column]:
