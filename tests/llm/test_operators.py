@@ -252,3 +252,21 @@ def test_pairs_of_terms_tell_where_no_term_does():
     assert machine.factor[x] @ machine.factor[y] > 1
     score = [machine.score(np.array([machine.feature_of[t] for t in r], np.int64)) for r in rows]
     assert np.mean([(s >= 0.5) == y for s, y in zip(score, label)]) > 0.95
+
+
+@pytest.mark.parametrize("letters, style", [("абвгдежзик", str), ("αβγδεζηθικ", str), ("abcdefghij", str.upper), ("abcdefghij", str.title), ("abcdefghij", str)])
+def test_passages_within_a_sentence_in_any_script_are_found(spark, letters, style):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage = style(words(60))
+    docs = [(i, style(words(15)) + " " + passage + " " + style(words(15)), "s") for i in range(4)]
+    spans = substring_dedup.repeated_spans(frame(spark, docs)).collect()
+    assert {r["doc_id"] for r in spans} == {1, 2, 3} and all(r["keep_doc_ids"] == [0] for r in spans)
+    assert all(docs[r["doc_id"]][1][r["start_char"] : r["end_char"]] in passage and r["n_words"] >= 30 for r in spans)
+
+
+def test_units_hold_all_words():
+    rng, _, base = texts(9, 20)
+    for t in [*base, "One.\nTwo. Three four!\n\nFIVE SIX", "Да. Нет.\nПривет мир, как твои дела? Хорошо."]:
+        got = list(substring_dedup.units(t))
+        assert sum(u[2] for u in got) == len(re.findall(r"\w+", t)) == sum(len(re.findall(r"\w+", t[u[0] : u[1]])) for u in got)

@@ -1,8 +1,9 @@
-"""Substring dedup by hashing normalised units: lines, cut further where sentences begin."""
+"""Substring dedup by hashing normalised units: lines and sentences, cut further after words that a hash picks."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +16,47 @@ from .common import stored
 
 #: Words of a run of repeated units from which it is removed.
 MIN_WORDS = 25
-#: A unit of fewer words carries no digest: too common to tell anything.
+#: Words of a unit where no line or sentence ends; the digest of a shorter one looks at words before it, too.
 UNIT_WORDS = 3
-#: Units end at line ends, after . ! ? and before a word that begins in upper case.
-_BORDER = re.compile(r"\n+|(?<=[.!?])\s+|\s+(?=[^\W\d_a-zß-öø-ÿ])")
+#: A word in so many, by its hash, ends a unit: in any script, whatever stands around a passage.
+CUT_WORDS = 8
+#: Units end at line ends and after marks that end a sentence.
+_BORDER = re.compile(r"\n+|(?<=[.!?\u0589\u061f\u06d4\u0964\u0965\u2026\u3002\uff01\uff1f])\s+")
 _WORD = re.compile(r"\w+")
 
 
+class Cuts(dict):
+    """Whether a lower-cased word ends a unit; words looked up before are remembered."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT_WORDS == 0
+        return out
+
+
+_CUTS = Cuts()
+
+
 def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(start, end, number of words, two halves of a digest) of the units with enough words."""
+    """(start, end, number of words, two halves of a digest) of the units, which hold all words of the text."""
     if not text:
         return
-    start = 0
+    start, last = 0, []
     for end, after in [*((m.start(), m.end()) for m in _BORDER.finditer(text)), (len(text), len(text))]:
-        words = _WORD.findall(text[start:end].lower())
-        if len(words) >= UNIT_WORDS:
-            digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-            yield start, end, len(words), *np.frombuffer(digest, np.int64).tolist()
+        found = list(_WORD.finditer(text, start, end))
+        words = [m.group().lower() for m in found]
+        done = 0
+        for k, word in enumerate(words, 1):
+            # at least UNIT_WORDS stand before a cut and after it
+            if k < len(words) and not (_CUTS[word] and k - done >= UNIT_WORDS and len(words) - k >= UNIT_WORDS):
+                continue
+            own = words[done:k]
+            last = (last + own)[-UNIT_WORDS:] if len(own) < UNIT_WORDS else own
+            digest = xxhash.xxh3_128_digest(" ".join(last).encode("utf-8", "surrogatepass"))
+            yield start, end if k == len(words) else found[k - 1].end(), len(own), *np.frombuffer(digest, np.int64).tolist()
+            done = k
+            start = found[k].start() if k < len(words) else start
         start = after
 
 
@@ -54,7 +79,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units the one with the smallest (doc_id, place) stays; the others are repeats. A run
     of neighbouring repeats of ``min_words`` words or more is a span, with the original
     character offsets and the documents where its units stay. So a passage is found
-    wherever it stands in a line, and short phrases that many documents share are left alone.
+    wherever it stands in a line, but for the units at its ends that hold other words, too,
+    and short phrases that many documents share are left alone. Units are cut alike in all scripts.
 
     Null and empty texts have no units. Rows without a doc_id are not looked at: nothing
     would say which row a span belongs to. Rows that repeat a doc_id are told apart by a hash of their text; of
