@@ -270,3 +270,19 @@ def test_units_hold_all_words():
     for t in [*base, "One.\nTwo. Three four!\n\nFIVE SIX", "Да. Нет.\nПривет мир, как твои дела? Хорошо."]:
         got = list(substring_dedup.units(t))
         assert sum(u[2] for u in got) == len(re.findall(r"\w+", t)) == sum(len(re.findall(r"\w+", t[u[0] : u[1]])) for u in got)
+
+
+def test_a_rule_of_three_tokens_fires(spark):
+    parts = [(h, p, q) for h in "ax" for p in "by" for q in "cz"]
+    urls = [f"http://{h}.org/{p}/{i}?{q}=1" for i in range(20) for h, p, q in parts]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    sure = {k: parts[k % 8] == ("a", "b", "c") for k in range(len(urls))}
+    labels = spark.createDataFrame([(k, b) for k, b in sure.items() if k < 120], "page_id long, blocked boolean")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_rules.url_verdicts(pages, (), labels).collect()}
+    assert got == sure
+
+
+def test_longer_rules_of_kept_ones_are_pruned(spark):
+    rows = [(["a", "b", "c"], True)] * 9 + [(["a", "b"], True)] * 9 + [(["a"], False)] * 9 + [(["b"], False)] * 9
+    got = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
+    assert sorted(r["tokens"] for r in got) == [["a", "b"], ["c"]]

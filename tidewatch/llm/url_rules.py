@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bounded, local_table
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 #: Given rules: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Share of labelled URLs that must hold a combination, and of those that are to be blocked.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
-#: Tokens of a rule at most; longer combinations are special cases of their parts.
-MAX_TOKENS = 2
 #: Given rules are broadcast as a literal map only up to this number.
 MAX_GIVEN = 10_000
 BLOCKED = "=block"
@@ -64,18 +62,20 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence) for blocking from ``labelled`` (tokens, blocked), by parallel FP-growth.
 
-    A rule whose tokens hold those of a shorter rule is pruned: that one fires anyway.
+    Rules may have any number of tokens. A rule whose tokens hold those of a shorter one is
+    pruned: that one fires anyway. A longer one may be sure enough where no part of it is.
     No labelled rows, or none blocked, give no rules. A null label is no label.
     """
     baskets = labelled.where("blocked is not null").select(
         F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCKED)
-    rules = rules.where(F.size("antecedent") <= MAX_TOKENS).select(F.array_sort("antecedent").alias("tokens"), "confidence")
-    single = rules.where(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"))
-    pairs = rules.where(F.size("tokens") > 1)
-    inside = pairs.withColumn("token", F.explode("tokens")).join(single, "token", "left_semi").select("tokens").distinct()
-    return rules.where(F.size("tokens") == 1).union(pairs.join(inside, "tokens", "left_anti"))
+    rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"), "mined-rules")
+    # shorter rules under their first token, which a longer one must hold
+    short = rules.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("token"))
+    longer = rules.where(F.size("tokens") > 1).select("tokens", F.explode("tokens").alias("token"))
+    inside = longer.join(bounded(short, short.count()), "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+    return rules.join(inside.select("tokens").distinct(), "tokens", "left_anti")
 
 
 def fired(pages: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
