@@ -34,9 +34,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    gone = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    gone = gone.withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), with_key=True).where("contaminated")
+    gone = gone.select(F.col("row_key").alias("__gone")).distinct()
+    return docs.join(gone, decontamination.row_key(docs) == F.col("__gone"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -286,3 +286,15 @@ def test_longer_rules_of_kept_ones_are_pruned(spark):
     rows = [(["a", "b", "c"], True)] * 9 + [(["a", "b"], True)] * 9 + [(["a"], False)] * 9 + [(["b"], False)] * 9
     got = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
     assert sorted(r["tokens"] for r in got) == [["a", "b"], ["c"]]
+
+
+def test_rows_of_one_id_or_none_are_judged_apart(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where(F.length("text") > 100).first()["text"]
+    rows = [(None, item, "s"), (None, "clean words", "s"), (None, None, "s"), (5, item, "s"), (5, "clean too", "s"), (5, item, "s")]
+    docs = frame(spark, rows)
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    got = decontamination.contamination(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in got) == sorted((str(i), t == item) for i, t, _ in rows)
+    assert all(r["n_hit"] == (r["n_words"] if r["contaminated"] else 0) for r in got)
+    left = corpus_pipeline.decontamination_stage(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("5", "clean too"), ("None", "None"), ("None", "clean words")]

@@ -77,8 +77,13 @@ def fingerprints(rows: DataFrame, span: int, gram: int) -> DataFrame:
     return rows.select("id", F.explode(F.transform(kept, part)).alias("f")).select("id", "f.*")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Tells rows of ``docs`` apart by doc_id, null or not, and text; equal rows share a key."""
+    return F.xxhash64(F.struct(F.col("doc_id").cast("long").alias("a"), F.xxhash64(F.col("text").cast("string")).alias("b")))
+
+
 def matches(docs: DataFrame, items: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
-    """(id, n_words, hit): a row with a null hit for every row of ``docs``, and one more for each shared fingerprint.
+    """(id, doc_id, n_words, hit): a row with a null hit for every row of ``docs``, and one more for each shared fingerprint.
 
     The one scan that all documents take. Fingerprints alone are compared here, of which
     an item's are few; documents are not shuffled where those of the items are a broadcast's size.
@@ -94,8 +99,8 @@ def matches(docs: DataFrame, items: DataFrame, spans: list[tuple[int, int]]) ->
         rows = _least(rows, span, gram, f"low{k}")
         found.append(F.coalesce(F.array_distinct(f"low{k}"), F.array().cast("array<long>")))
     alone = F.array(F.lit(None).cast("long"))
-    rows = rows.select("id", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(alone, *found)).alias("print"))
-    return rows.join(bounded(prints, prints.count()), "print", "left").where("print is null or hit").select("id", "n_words", "hit")
+    rows = rows.select("id", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(alone, *found)).alias("print"))
+    return rows.join(bounded(prints, prints.count()), "print", "left").where("print is null or hit").select("id", "doc_id", "n_words", "hit")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -117,7 +122,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
     return met.where(F.col("high") - F.col("low") >= span)
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, with_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids, contaminated.
 
     ``docs`` has doc_id and text, ``items`` has item_id and text. A window is ``span``
@@ -127,17 +132,18 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     ``span`` are looked up by their whole length, one pass for each such length.
 
     Null texts have no words. A null item_id takes part but cannot be listed. Rows that
-    repeat a doc_id share their hits, where equal rows are the usual case; repeated items
-    count once. Empty tables give no hits. Other columns are not looked at.
+    repeat a doc_id, or have none, are told apart by their texts; repeated items
+    count once. Empty tables give no hits. Other columns are not looked at. With ``with_key``
+    there is one more column ``row_key``, as the function of that name makes it.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), words_of(F.col("text")).alias("words"))
+    base = docs.select(row_key(docs).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     test = stored(items.select(F.col("item_id").cast("string").alias("id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
     lengths = [r[0] for r in test.select(F.size("words").alias("n")).where(f"n < {span}").distinct().collect()]  # under span of them
     spans = [(span, gram), *((n, n) for n in sorted(lengths))]
     met = stored(matches(base, test, spans), "matches")
     some = stored(met.where("hit").select("id").distinct(), "matched")
-    raw = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    near = raw.join(bounded(some.withColumnRenamed("id", "__id"), some.count()), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    raw = docs.select(row_key(docs).alias("id"), "text")
+    near = raw.join(bounded(some, some.count()), "id", "left_semi")
     near = near.select("id", words_of(F.col("text")).alias("words"))
     found = None
     for n, k in spans:
@@ -149,9 +155,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     spans = found.select("id", "low", "high").distinct().withColumn("until", F.coalesce(F.max("high").over(reach), F.lit(0)))
     n_hit = spans.groupBy("id").agg(F.sum(F.greatest(F.col("high") - F.greatest("low", "until"), F.lit(0))).alias("n_hit"))
     ids = found.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    per = n_hit.alias("a").join(ids.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id"))).select("a.id", "n_hit", "item_ids")
-    out = met.where("hit is null").alias("d").join(per.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")), "left")
+    per = n_hit.join(ids, "id")
+    out = met.where("hit is null").join(per, "id", "left")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select(F.col("d.id").alias("doc_id"), "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+    key = [F.col("id").alias("row_key")] if with_key else []
+    return out.select(*key, "doc_id", "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
                       listed.alias("item_ids"), (n > 0).alias("contaminated"))
