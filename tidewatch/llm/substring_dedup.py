@@ -16,8 +16,10 @@ from .common import stored
 
 #: Words of a run of repeated units from which it is removed.
 MIN_WORDS = 25
-#: Words of a unit where no line or sentence ends; the digest of a shorter one looks at words before it, too.
+#: Words at least of a unit where no line or sentence ends.
 UNIT_WORDS = 3
+#: The digest of a unit of fewer words looks at words before it, too, so that common phrases do not add up to a run.
+DIGEST_WORDS = 8
 #: A word in so many, by its hash, ends a unit: in any script, whatever stands around a passage.
 CUT_WORDS = 8
 #: Units end at line ends and after marks that end a sentence.
@@ -52,7 +54,7 @@ def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
             if k < len(words) and not (_CUTS[word] and k - done >= UNIT_WORDS and len(words) - k >= UNIT_WORDS):
                 continue
             own = words[done:k]
-            last = (last + own)[-UNIT_WORDS:] if len(own) < UNIT_WORDS else own
+            last = (last + own)[-DIGEST_WORDS:] if len(own) < DIGEST_WORDS else own
             digest = xxhash.xxh3_128_digest(" ".join(last).encode("utf-8", "surrogatepass"))
             yield start, end if k == len(words) else found[k - 1].end(), len(own), *np.frombuffer(digest, np.int64).tolist()
             done = k
