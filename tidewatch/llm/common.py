@@ -45,3 +45,18 @@ def space_words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 2 by 4; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def heavy_lookup(rows: DataFrame, known: DataFrame, on: list[str], size: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, which has each key once and in ``size`` the number of its rows.
+
+    Fewer than ``parts`` keys can hold more than that part of all rows each. Those are looked up by
+    broadcast, so no task gets all rows of a key.
+    """
+    least = known.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) * parts > least
+    hot = F.broadcast(known.where(heavy).withColumn("__hot", F.lit(True)))
+    dealt = rows.join(hot, on, "left")
+    columns = [*rows.columns, *[c for c in known.columns if c not in on]]
+    cold = dealt.where("__hot is null").select(rows.columns).join(known.where(~heavy), on)
+    return dealt.where("__hot").select(columns).union(cold.select(columns))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, exact_dedup, language, line_dedup, minhash_dedup, mixing, quality, substring_dedup,
-               toxicity, url_rules)
+from . import (decontamination, exact_dedup, language, line_dedup, minhash_dedup, mixing, phrases, prefix_trie, quality,
+               substring_dedup, toxicity, url_rules, vector_dedup)
 from .common import table
 
 
@@ -54,9 +54,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_substring_dedup, op4_mixing, op5_language, op6_exact_dedup,
-                            op7_line_dedup, op8_url_rules, op9_near_dedup, op10_quality)}
+                            op7_line_dedup, op8_url_rules, op9_near_dedup, op10_quality, op11_collocations, op12_vector_dedup,
+                            op13_prefix_trie)}
 
 _LOWER = "translate({0}, '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "')"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -145,4 +158,66 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, u.b F
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, documents.doc_id = component_id AS kept
 FROM documents JOIN c ON c.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id""",
+    "op11_collocations": f"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM t),
+s AS (SELECT lang, m, w, unnest(range(0, len(w) - m + 1)) AS s FROM p, range(1, 5) r(m) WHERE len(w) >= m),
+g AS (SELECT lang, m, array_to_string(w[s + 1 : s + m], ' ') AS phrase, count(*) AS f FROM s GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= {phrases.MIN_COUNT}),
+cut AS (SELECT lang, phrase, a, m, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score, k
+  FROM cut JOIN g l ON l.lang = cut.lang AND l.phrase = x JOIN g r ON r.lang = cut.lang AND r.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND len(c.w) > len(string_split(b.phrase, ' '))
+    AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100::HUGEINT * c.a >= {phrases.INSIDE}::HUGEINT * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {phrases.TOP}""",
+    "op12_vector_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {vector_dedup.THRESHOLD}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+top AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM top LEFT JOIN n USING (vec_id)""",
+    "op13_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS k,
+         {{'role': role, 'text': text}} AS s FROM t),
+h AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+        lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT h.c, k, s FROM h JOIN o ON o.c = h.c - h.c % {prefix_trie.FAMILY} AND k <= h
+  UNION ALL SELECT h.c, k, s FROM h JOIN o ON o.c = h.c AND k > h),
+f AS (SELECT h.c, coalesce(list(s ORDER BY k) FILTER (k IS NOT NULL), []) AS path FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+m AS (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM f),
+node AS (
+  SELECT path[1 : d] AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(path) = d), '') AS ends,
+  FROM m GROUP BY 1, 2),
+kid AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+val AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+         (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len([x FOR x IN regexp_split_to_array(node.p[d].text, '[\\x20\\x09-\\x0D]+') IF x <> '']) END AS saved
+  FROM node LEFT JOIN kid ON kid.p = node.p),
+up AS (SELECT p[1 : a] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM val) GROUP BY 1)
+SELECT val.conv_id, val.d AS depth, parent.conv_id AS parent_conv_id, val.n_convs, val.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(val.ends) AS ends_sha256
+FROM val JOIN up ON up.p = val.p LEFT JOIN node parent ON val.d > 0 AND parent.p = val.p[1 : val.d - 1]""",
 }
