@@ -149,17 +149,6 @@ def tree_attributions(spark, sf):
 register("tree_attributions", tree_attributions, "SELECT event_id, true AS adds_up FROM events")
 
 
-def attribution_summary(spark, sf):
-    train, test = _sides(flow_rows(spark, sf))
-    model = training.fit_forest(train, FLOW_FEATURES, trees=10, depth=6)
-    scored = training.score(test, model, FLOW_FEATURES)
-    groups = [("baseline", ["BENIGN"]), ("volumetric", ["DoS", "DDoS"]), ("targeted", ["PortScan", "BruteForce", "Botnet", "WebAttack"])]
-    return analysis.attribution_report(scored, model, FLOW_FEATURES, "event_id", groups)["top_features"]
-
-
-register("attribution_summary", attribution_summary)
-
-
 def export_analysis(spark, sf):
     """Train, then analyse the whole feed as an export under odd header spellings."""
     rows = flow_rows(spark, sf)

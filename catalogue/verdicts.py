@@ -127,29 +127,59 @@ _lin = [
     "w(label_class, feature, w, mean) AS (VALUES " + ", ".join(f"('{config.CLASSES[k]}', '{f}', CAST({v} AS DOUBLE), CAST({_MEANS[f]} AS DOUBLE))" for (k, f), v in _W.items()) + ")",
     "lin AS (SELECT row_id, user_id, label_class, feature, value, w * (value - mean) AS contribution FROM cells JOIN w USING (feature))",
 ]
-_ONE_CLASS = "label_class = 'DoS'"
 register("contributions_linear", lambda s, d: _contributions(s, d).groupBy("label_class", "feature").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 2).alias("total")),
          sql([], "SELECT label_class, feature, count(*) AS n, round(sum(contribution), 2) AS total FROM lin GROUP BY 1, 2", _lin))
-register("contributions_top_three", lambda s, d: scoring.top_contributions(_contributions(s, d).where(_ONE_CLASS), "row_id", 3).select("row_id", "feature", F.round("contribution", 6).alias("contribution"), "rank"),
-         sql([], f"SELECT row_id, feature, round(contribution, 6) AS contribution, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS r FROM lin WHERE {_ONE_CLASS}) WHERE r <= 3", _lin))
+
+
+def _in_rows(spark, sf):
+    """Values and, per class, contributions of every row as arrays: nothing is shuffled."""
+    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "user_id", F.array(*[F.expr(e).cast("double") for e in _EXPR.values()]).alias("v"))
+    return rows.withColumn("s", attribution.linear_rows(F.col("v"), [[_W[k, f] for f in _FEATS] for k in range(3)], list(_MEANS.values())))
+
+
+def top_three(spark, sf):
+    each = _in_rows(spark, sf).select("row_id", F.posexplode("s").alias("k", "c"))
+    return each.select("row_id", F.get(F.array(*[F.lit(n) for n in config.CLASSES]), F.col("k")).alias("label_class"), F.inline(scoring.top_in_row(F.col("c"), _FEATS, 3))).withColumn("contribution", F.round("contribution", 6))
+
+
+register("contributions_top_three", top_three,
+         sql([], "SELECT row_id, label_class, feature, round(contribution, 6) AS contribution, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id, label_class ORDER BY abs(contribution) DESC, feature) AS r FROM lin) WHERE r <= 3", _lin))
 register("contributions_global", lambda s, d: fx.rounded(scoring.global_attribution(_contributions(s, d)), ["mean_abs"], 4),
          sql([], "SELECT feature, round(avg(abs(contribution)), 4) AS mean_abs FROM lin GROUP BY 1", _lin))
 register("contributions_global_ranked", lambda s, d: scoring.top_global(scoring.global_attribution(_contributions(s, d)), 3).select("feature", "rank"),
          sql([], "SELECT feature, CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS rank FROM (SELECT feature, avg(abs(contribution)) AS m FROM lin GROUP BY 1) ORDER BY m DESC, feature LIMIT 3", _lin))
 
 
+_PREDICTED = "CASE WHEN user_id % 3 = 0 THEN 'BENIGN' WHEN user_id % 3 = 1 THEN 'DoS' ELSE 'DDoS' END"
+
+
 def explained(spark, sf):
+    """Verdict, contributions to its class and raw values joined on (row, feature)."""
     cells = _cells(spark, sf)
-    parts = _contributions(spark, sf).where(_ONE_CLASS).drop("label_class")
-    verdicts = cells.where("feature = 'flags'").select("row_id", F.when(F.col("user_id") % 3 == 0, "BENIGN").otherwise("DoS").alias("prediction")).withColumn("is_attack", verdict.is_attack(F.col("prediction")))
+    verdicts = fx.table(spark, sf, "events").selectExpr("event_id AS row_id", f"{_PREDICTED} AS prediction").withColumn("is_attack", verdict.is_attack(F.col("prediction")))
+    parts = _contributions(spark, sf).join(verdicts.select("row_id", F.col("prediction").alias("label_class")), ["row_id", "label_class"]).drop("label_class")
     out = scoring.explain_long(verdicts, parts, cells.drop("user_id"), "row_id", 3)
     return out.select("row_id", "feature", F.round("value", 6).alias("value"), "prediction", "increases_threat", verdict.direction_text(F.col("increases_threat")).alias("direction"))
 
 
-register("contributions_explained", explained, sql([], f"""SELECT row_id, feature, round(value, 6) AS value, CASE WHEN user_id % 3 = 0 THEN 'BENIGN' ELSE 'DoS' END AS prediction,
- CASE WHEN user_id % 3 = 0 THEN contribution < 0 ELSE contribution > 0 END AS increases_threat,
- CASE WHEN (CASE WHEN user_id % 3 = 0 THEN contribution < 0 ELSE contribution > 0 END) THEN 'increases threat' ELSE 'decreases threat' END AS direction
-FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS r FROM lin WHERE {_ONE_CLASS}) WHERE r <= 3""", _lin))
+_raises = "CASE WHEN user_id % 3 = 0 THEN contribution < 0 ELSE contribution > 0 END"
+_explained_sql = sql([], f"""SELECT row_id, feature, round(value, 6) AS value, {_PREDICTED} AS prediction, {_raises} AS increases_threat,
+ CASE WHEN {_raises} THEN 'increases threat' ELSE 'decreases threat' END AS direction
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS r FROM lin WHERE label_class = {_PREDICTED}) WHERE r <= 3""", _lin)
+register("contributions_explained", explained, _explained_sql)
+
+
+def explained_in_row(spark, sf):
+    """The same from row arrays, without a join."""
+    rows = _in_rows(spark, sf).withColumn("prediction", F.expr(_PREDICTED)).withColumn("is_attack", verdict.is_attack(F.col("prediction")))
+    own = F.get(F.col("s"), F.array_position(F.array(*[F.lit(n) for n in config.CLASSES[:3]]), F.col("prediction")).cast("int") - 1)
+    value = F.create_map(*[x for i, f in enumerate(_FEATS) for x in (F.lit(f), F.col("v")[i])])
+    top = rows.select("row_id", "prediction", "is_attack", value.alias("value"), F.inline(scoring.top_in_row(own, _FEATS, 3)))
+    raises = verdict.increases_threat(F.col("contribution"), F.col("is_attack"))
+    return top.select("row_id", "feature", F.round(F.element_at("value", F.col("feature")), 6).alias("value"), "prediction", raises.alias("increases_threat"), verdict.direction_text(raises).alias("direction"))
+
+
+register("contributions_explained_in_row", explained_in_row, _explained_sql)
 
 
 def _explained_rows(spark, sf):

@@ -47,25 +47,74 @@ def test_models_score(table, fitted, kind):
     assert len(padded["probs"]) == 8 and padded["probs"][3:] == [0.0] * 5
 
 
-@pytest.mark.parametrize("kind", ["forest", "boosted"])
-def test_contributions_add_up(table, fitted, kind):
-    model = fitted[kind]
-    scored = training.score(table, model, FEATS, list(THREE))
-    k = F.array_position(F.array(*[F.lit(n) for n in THREE]), F.col("prediction")) - 1
-    parts = attribution.tree_contributions(scored.withColumn("predicted_id", k), model, FEATS, "flow_id", 3)
-    for r in parts.join(scored, "flow_id").collect():
-        total = r["base"] + sum(r["contribution"])
+def walked(nodes, x, classes):
+    """Base and credits per class and feature, tree by tree and step by step."""
+    trees = {}
+    for n in nodes:
+        trees.setdefault(n["tree"], {})[n["id"]] = n
+    base, credit = np.zeros(classes), np.zeros((classes, len(x)))
+    for tree in trees.values():
+        at = tree[0]
+        base += at["value"]
+        while at["left"] >= 0:
+            go = tree[at["left"] if x[at["feature"]] <= at["threshold"] else at["right"]]
+            credit[:, at["feature"]] += np.array(go["value"]) - np.array(at["value"])
+            at = go
+    return base, credit
+
+
+@pytest.mark.parametrize("kind,limit", [("forest", 1 << 27), ("forest", 0), ("boosted", 1 << 27), ("boosted", 0), ("binary", 1 << 27)])
+def test_contributions_match_a_walk(spark, table, fitted, kind, limit):
+    """The leaf table gives what a walk through every tree gives, by broadcast or by a join, and adds up to the raw score."""
+    model, names = fitted["boosted" if kind == "binary" else kind], list(THREE)
+    classes = 1 if kind == "binary" else 3
+    if kind == "binary":
+        model = model.models[1]
+    scored = table.withColumn("predicted_id", F.lit(0)) if kind == "binary" else training.score(table, model, FEATS, names).withColumn(
+        "predicted_id", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("prediction")) - 1)
+    parts = attribution.tree_contributions(scored, model, FEATS, "flow_id", classes, broadcast_bytes=limit)
+    nodes = []
+    for k, member in enumerate(attribution._members(model)):
+        path = attribution.shared_dir(spark, "test-trees")
+        member.write().save(path)
+        cuts = {(r["treeID"], r["nodeData"]["id"]): r["nodeData"]["split"]["leftCategoriesOrThreshold"] for r in spark.read.parquet(f"{path}/data").collect()}
+        for r in attribution.node_table(spark, member, 1 if kind != "forest" else 3).collect():
+            value = r["value"] if kind == "forest" else [r["value"][0] if i == k % classes else 0.0 for i in range(classes)]
+            nodes.append(r.asDict() | {"tree": (k, r["tree"]), "value": value, "threshold": (cuts[r["tree"], r["id"]] or [0.0])[0]})
+    got = {r["flow_id"]: r for r in parts.collect()}
+    rows = scored.orderBy("flow_id").collect()
+    assert len(got) == len(rows)
+    for r in rows[:40]:
+        k, x = r["predicted_id"], [r[f] for f in FEATS]
+        base, credit = walked(nodes, x, classes)
+        g = got[r["flow_id"]]
+        assert g["base"] == pytest.approx(base[k], abs=1e-9)
+        assert g["contribution"] == pytest.approx(list(credit[k]), abs=1e-9)
+        assert g["all_abs"] == pytest.approx(list(np.abs(credit).sum(0)), abs=1e-9)
         if kind == "forest":
-            want = r["confidence"]
-        else:
-            rows = training.assemble(table.where(F.col("flow_id") == r["flow_id"]), FEATS)
-            if r["flow_id"] % 100:
-                continue
-            p = model.models[list(THREE).index(r["prediction"])].transform(rows.select(F.col("features").alias("_features"))).first()
-            want = next(v for n, v in p.asDict().items() if n.startswith("_raw"))[1]
-        assert total == pytest.approx(want, abs=1e-9)
-    means = {r["feature"]: r["mean_abs"] for r in attribution.global_importance(parts, FEATS, 3).collect()}
-    assert max(means, key=means.get) != "plain"
+            assert g["base"] + sum(g["contribution"]) == pytest.approx(r["confidence"], abs=1e-9)
+    if kind != "forest":
+        raw = (model if kind == "binary" else model.models[1]).transform(training.assemble(table, FEATS)).orderBy("flow_id").collect()
+        k = 0 if kind == "binary" else 1
+        mine = [(r["rawPrediction"][1], sum(got[r["flow_id"]]["contribution"]) + got[r["flow_id"]]["base"]) for r, s in zip(raw, rows) if s["predicted_id"] == k]
+        assert mine and all(a == pytest.approx(b, abs=1e-9) for a, b in mine)
+    means = {r["feature"]: r["mean_abs"] for r in attribution.global_importance(parts, FEATS, classes).collect()}
+    assert means == pytest.approx({f: float(np.mean([g["all_abs"][i] for g in got.values()])) / classes for i, f in enumerate(FEATS)})
+
+
+def test_deep_and_single_node_trees(spark):
+    """A path of nine splits, known after four doublings, and a tree that is one leaf."""
+    rows = []
+    for d in range(9):  # pre-order: the left child is a leaf, the right one goes on
+        rows.append((0, 2 * d, 2 * d + 1, 2 * d + 2, d % 2, [float(d), 0.0]))
+        rows.append((0, 2 * d + 1, -1, -1, -1, [10.0 * d, 1.0]))
+    rows += [(0, 18, -1, -1, -1, [9.0, 0.0]), (1, 0, -1, -1, -1, [0.5, 0.5])]
+    nodes = spark.createDataFrame(rows, "tree int, id int, left int, right int, feature int, value array<double>")
+    got = {(r["tree"], r["leaf"]): {s["f"]: s["d"] for s in r["steps"]} for r in attribution.leaf_table(nodes, 3).collect()}
+    assert len(got) == 10 and got[0, 9] == {0: [5.0, 0.0], 1: [4.0, 0.0], 2: [0.0, 0.0]}
+    assert got[0, 3] == {0: [2.0, 0.0], 1: [28.0, 1.0], 2: [0.0, 0.0]}
+    assert (1, 0) not in got  # a leaf without credits adds nothing
+    assert attribution.base_scores(nodes) == [0.5, 0.5]
 
 
 def test_ranking_and_sets(spark, fitted):

@@ -146,6 +146,12 @@ def top_features(contributions: Column, values: Column, features: Sequence[str],
     return F.transform(F.slice(F.array_sort(zipped), 1, k), entry)
 
 
+def top_in_row(contributions: Column, features: Sequence[str], k: int) -> Column:
+    """The k largest contributions of a row's array as (feature, contribution, rank), ties by name; row-local."""
+    named = F.zip_with(contributions, F.array(*[F.lit(f) for f in features]), lambda s, f: F.struct((-F.abs(s)).alias("_d"), f.alias("feature"), s.alias("contribution")))
+    return F.transform(F.slice(F.array_sort(named), 1, k), lambda e, i: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution"), (i + 1).alias("rank")))
+
+
 def top_contributions(long: DataFrame, row: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Top k of a long (row, feature, contribution) table; k rows per group pass the filter early."""
     w = Window.partitionBy(row, *by).orderBy(F.desc(F.abs("contribution")), "feature")

@@ -13,7 +13,7 @@ from ..functions.names import c, extract_labels, label_column, normalize_columns
 from ..operators import attribution, scoring
 from ..operators.preparing import coverage, display_values, prepare
 from ..operators.scaling import Parameters
-from ..session import shared_dir
+from ..session import stored
 from .training import score
 
 
@@ -58,15 +58,11 @@ def analyze(
     if scored_rows is not None:
         export = scoring.first_rows(export, row, scored_rows)
     normalized = normalize_columns(export, params.features, [row])
-    # Several aggregates read the scored table, so it is written once.
-    stored = shared_dir(export.sparkSession, "scored")
-    score_export(export, model, params, row, classes).write.parquet(stored)
-    scored = export.sparkSession.read.parquet(stored)
+    # Several aggregates read the scored table and the contributions, so each is written once.
+    scored = stored(score_export(export, model, params, row, classes), "scored")
     shown = first(scored, explained)
     k = F.array_position(F.array(*[F.lit(n) for n in sorted(classes, key=classes.get)]), F.col("prediction")) - 1
-    parts = attribution.tree_contributions(
-        shown.withColumn("predicted_id", k), model, params.features, row, len(classes)
-    )
+    parts = stored(attribution.tree_contributions(shown.withColumn("predicted_id", k), model, params.features, row, len(classes)), "contributions")
     raw = display_values(normalized, params, [row]).select(row, F.array(*[c(f) for f in params.features]).alias("_raw"))
     listing = (
         first(scored, returned).join(parts, row, "left").join(raw, row)
@@ -112,7 +108,7 @@ def attribution_report(
     names = sorted(classes, key=classes.get)
     sample = scored if rows is None else uniform_sample(scored, rows, [row], seed)
     k = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("prediction")) - 1
-    parts = attribution.tree_contributions(sample.withColumn("predicted_id", k), model, features, row, len(classes))
+    parts = stored(attribution.tree_contributions(sample.withColumn("predicted_id", k), model, features, row, len(classes)), "contributions")
     values = sample.select(row, "truth", "prediction", "is_attack", F.array(*[c(f) for f in features]).alias("_x"))
     examples = scoring.first_correct_per_group(values, row, groups).join(parts, row).withColumn(
         "top_features", scoring.top_features(F.col("contribution"), F.col("_x"), features, F.col("is_attack"), 5)

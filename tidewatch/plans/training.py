@@ -36,11 +36,11 @@ def _training_rows(train: DataFrame, features: Sequence[str], label: str, classe
 
 def fit_forest(
     train: DataFrame, features: Sequence[str], label: str = "label_int", classes: int = len(config.CLASSES),
-    trees: int = 100, depth: int = 20, min_leaf: int = 2, seed: int = config.SEED,
+    trees: int = 100, depth: int = 20, min_leaf: int = 2, seed: int = config.SEED, bootstrap: bool = True,
 ) -> RandomForestClassificationModel:
     rows = _training_rows(train, features, label, classes, True)
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", seed=seed
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", seed=seed, bootstrap=bootstrap
     ).fit(rows)
 
 
@@ -78,7 +78,8 @@ def with_probabilities(df: DataFrame, model, features: Sequence[str], classes: S
     rows = assemble(df, features, "_features")
     if isinstance(model, OneVsRestModel):
         outs = []
-        for k, m in enumerate(model.models):
+        for k, member in enumerate(model.models):
+            m = member.copy()
             m.setFeaturesCol("_features").setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}").setPredictionCol(f"_y{k}")
             rows = m.transform(rows).drop(f"_raw{k}", f"_y{k}")
             outs.append(vector_to_array(F.col(f"_p{k}"))[1])

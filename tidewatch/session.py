@@ -53,6 +53,13 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return found or spark.conf.get("tidewatch.scratch", None)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Mark ``df`` for broadcast when ``rows`` is a proven bound that is small enough.
 
