@@ -43,7 +43,7 @@ for _kind, _expr in {"median": "round(quantile_cont({x}, 0.5), 6)", "mean": "rou
 # Sketch brackets and candidate counting, whatever the table size.
 register(
     "fill_median_narrowed",
-    lambda s, d: fx.rounded(_table(s, scaling.fit_fills(fx.features(s, d), fx.NAMES, "median", direct_rows=0, candidates=500), "fill"), ["fill"]),
+    lambda s, d: fx.rounded(_table(s, scaling.fit_fills(fx.features(s, d), fx.NAMES, "median", sketch=50), "fill"), ["fill"]),
     sql(["features"], _per_feature("round(quantile_cont({x}, 0.5), 6) AS fill")),
 )
 

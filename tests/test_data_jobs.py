@@ -74,13 +74,57 @@ def test_quantiles_match_numpy_with_a_hot_value(spark):
     gaps = np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n))
     df = spark.createDataFrame(zip(hot.tolist(), ints.tolist(), gaps.tolist(), [None] * n), "hot double, ints double, gaps double, none double").repartition(6)
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    for limits in ({}, {"direct_rows": 0, "candidates": 50, "sketch": 200}, {"direct_rows": 0}):
+    for limits in ({}, {"sketch": 200}, {"sketch": 5}):
         got = quantiles.quantiles(df, df.columns, probs, **limits)
         for name, x in (("hot", hot), ("ints", ints), ("gaps", gaps)):
             np.testing.assert_allclose(got[name], np.nanquantile(x, probs), rtol=1e-12)
         assert got["none"] == [None] * len(probs)
 
 
+def test_two_scans_for_many_columns(spark):
+    """78 columns and three probabilities: the table is read twice; correlations of all pairs read it once."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 78))
+    names = [f"c{i}" for i in range(78)]
+    table = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    seen = spark.sparkContext.accumulator(0)
+    read = table.mapInPandas(lambda parts: (_counted(part, seen) for part in parts), table.schema)
+    got = quantiles.quantiles(read, names, [0.25, 0.5, 0.75])
+    np.testing.assert_allclose([got[n] for n in names], np.quantile(x, [0.25, 0.5, 0.75], axis=0).T, rtol=1e-12)
+    assert seen.value == 2 * 500
+    pairs = {(r["i"], r["j"]): r["r"] for r in scaling.correlation_pairs(read, names).collect()}
+    want = np.corrcoef(x.T)
+    assert len(pairs) == 78 * 77 // 2 and all(abs(r - want[i, j]) < 1e-9 for (i, j), r in pairs.items())
+    assert 3 * 500 <= seen.value <= 4 * 500  # and the few rows of the shift
+
+
+def _counted(part, seen):
+    seen.add(len(part))
+    return part
+
+
+def test_correlations_of_columns_with_gaps(spark):
+    """Only rows where both are present count, at any offset; constants and single rows have no correlation."""
+    rng = np.random.default_rng(8)
+    n = 400
+    base = rng.normal(size=n)
+    cols = {"a": base, "b": base * 2 + rng.normal(size=n), "far": 1e9 + base + rng.normal(size=n), "flat": np.full(n, 0.1), "tiny": 1e-9 * rng.normal(size=n)}
+    gap = {k: np.where(rng.random(n) < 0.3, np.nan, v) for k, v in cols.items()}
+    gap["late"] = np.where(np.arange(n) < n - 5, np.nan, base + 1e6)
+    gap["one"] = np.where(np.arange(n) == 7, 3.0, np.nan)
+    gap["none"] = np.full(n, np.nan)
+    names = list(gap)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*gap.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in names)).coalesce(1)
+    got = {(r["left"], r["right"]): r["r"] for r in scaling.correlation_pairs(df, names).collect()}
+    for (x, y), r in got.items():
+        both = ~np.isnan(gap[x]) & ~np.isnan(gap[y])
+        if "flat" in (x, y) or both.sum() < 2:
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(gap[x][both], gap[y][both])[0, 1], abs=1e-6)
+
+
 def test_correlation_keeps_one_of_a_pair(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=200)

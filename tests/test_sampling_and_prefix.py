@@ -114,5 +114,5 @@ def test_session_totals(spark):
     df = spark.createDataFrame(
         [(0, "BENIGN", False, "BENIGN"), (1, "DDoS", True, "DDoS"), (2, "PortScan", True, "DoS"), (3, "BENIGN", False, None)],
         "i long, prediction string, is_attack boolean, truth string")
-    last = running_totals(df, "i", buckets=2).orderBy("i").collect()[-1]
+    last = running_totals(df, "i", parts=2).orderBy("i").collect()[-1]
     assert (last["flows"], last["attacks"], last["labelled"], last["accuracy"]) == (4, 2, 3, 2 / 3)

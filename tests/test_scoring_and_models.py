@@ -237,8 +237,19 @@ def test_contract_violations(spark):
     assert {r["check"]: r["violations"] for r in scoring.contract_violations(df, good, ["b"]).collect()}["parameter_order"] == 2
 
 
-@pytest.mark.parametrize("limit", [5, 1500, 2999, 3000, 5000])
+@pytest.mark.parametrize("limit", [0, 5, 1500, 2999, 3000, 5000])
 def test_first_rows(spark, limit):
+    """Whatever the type and the spread of the key: squares, text, a cluster with one far id, two columns with nulls."""
     ids = [i * i for i in range(3000)]
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)
-    assert [r["id"] for r in scoring.first_rows(df, "id", limit, buckets=16).collect()] == ids[:limit]
+    assert [r["id"] for r in scoring.first_rows(df, "id", limit, parts=16).collect()] == ids[:limit]
+    names = sorted(f"flow {i % 13} {i}" for i in range(3000))
+    text = spark.createDataFrame([(n,) for n in names], "id string").repartition(7)
+    assert [r["id"] for r in scoring.first_rows(text, "id", limit, parts=5).collect()] == names[:limit]
+    if limit == 1500:
+        far = [*range(2999), 2**62]
+        df = spark.createDataFrame([(i,) for i in far], "id long").repartition(3)
+        assert [r["id"] for r in scoring.first_rows(df, "id", limit).collect()] == far[:limit]
+        pairs = [(None if i % 3 else "a", i) for i in range(3000)]
+        df = spark.createDataFrame(pairs, "a string, b long").repartition(3)
+        assert [tuple(r) for r in scoring.first_rows(df, ["a", "b"], limit).collect()] == sorted(pairs, key=lambda p: (p[0] or "", p[1]))[:limit]

@@ -42,10 +42,3 @@ def to_number(col: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where the denominator is 0 or the ratio is unknown."""
     return F.coalesce(F.try_divide(num, den), F.lit(0.0))
-
-
-def pearson(a: str, b: str) -> Column:
-    """Pearson r of two columns over rows where both are present; NULL when one is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

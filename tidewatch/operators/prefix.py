@@ -12,7 +12,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded
+from ..session import bounded, stored
+
+
+def ordered_parts(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The rows dealt to ranges of ``order`` and stored, with the number of the range as ``_part``.
+
+    Spark draws the borders from a sample of the rows, whatever the types of the keys, so the ranges hold
+    about as many rows each however the keys are spread; equal keys stay together. ``parts`` is the
+    number of shuffle partitions where it is not given.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+
+
+def row_at(df: DataFrame, order: Sequence[str], position: int, parts: int | None = None) -> DataFrame:
+    """The ``order`` columns of the row at a 1-based position, as a frame of one row; of none beyond the end.
+
+    Only the keys are dealt to ranges. Counts of the ranges tell which one holds the position, and only that one is ranked.
+    """
+    keys = ordered_parts(df.select(*order), order, parts)
+    counts = keys.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    edge = counts.withColumn("_need", F.lit(position) - (upto - F.col("_n"))).where("_need > 0 AND _need <= _n")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return keys.join(F.broadcast(edge), "_part").withColumn("_rank", rank).where("_rank = _need").select(*order)
 
 
 def position_bucket(position: Column, low: Column, high: Column, buckets: int) -> Column:

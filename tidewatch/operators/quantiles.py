@@ -1,162 +1,73 @@
-"""Exact quantiles of many columns without holding a column's values in one task.
-
-The built-in ``percentile`` keeps every distinct value of a column in one buffer. Here
-the values are first collapsed to (value, count). Up to ``direct_rows`` rows the ranks
-are read off that directly. Above, the job narrows:
-a bounded sketch proposes a bracket around each wanted rank, one scan counts what
-lies below the bracket and collapses what lies inside to (value, count), and the
-rank is read off exactly. A bracket that turns out not to hold the rank is widened,
-and one that still holds too many values is narrowed again.
+"""Exact quantiles of many columns and probabilities in two scans.
+
+The first scan counts every column and keeps one mergeable rank sketch of it, which
+proposes a bracket around each wanted rank. The second scan counts what lies below each
+bracket and collapses what lies inside to (value, count). The counts are the proof: a
+rank is read only where the bracket holds it, else that column's bracket becomes its whole range and the scan is made
+again for it. Collapsed values are dealt to ordered ranges of bounded size, and running sums with
+the ranges' offsets give the ranks, so no task holds a column's values.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import c
 from ..functions.numeric import finite
+from .prefix import ordered_parts, prefix_sums
 
-DIRECT_ROWS = 2_000_000
-CANDIDATES = 1_000_000
+#: Reciprocal of the rank error of the sketch, as a share of the rows.
 SKETCH = 10_000
-CHUNK = 20
-
-
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
-    candidates: int = CANDIDATES,
-    sketch: int = SKETCH,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column over its present values, exact."""
-    out: dict[str, list[float | None]] = {}
-    for start in range(0, len(columns), CHUNK):
-        names = list(columns[start : start + CHUNK])
-        part = df.select(*[finite(c(n)).alias(f"v{i}") for i, n in enumerate(names)])
-        for n, values in zip(names, _chunk_quantiles(part, len(names), probs, direct_rows, candidates, sketch)):
-            out[n] = values
-    return out
-
 
-def _chunk_quantiles(part, width, probs, direct_rows, candidates, sketch):
-    cols = range(width)
-    size = part.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in cols]).first()
-    if max(size) <= direct_rows:
-        return _direct(part, list(size), probs)
 
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], sketch: int = SKETCH) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column over its present values, exact; None for a column without values."""
+    values = df.select(*[finite(c(n)).alias(f"v{i}") for i, n in enumerate(columns)])
     spread = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2.0 / sketch, 2.0 / sketch)]
-    seen = part.agg(
-        *[F.min(f"v{i}").alias(f"lo{i}") for i in cols],
-        *[F.max(f"v{i}").alias(f"hi{i}") for i in cols],
-        *[F.percentile_approx(f"v{i}", spread, sketch).alias(f"s{i}") for i in cols],
+    seen = values.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"v{i}", spread, sketch).alias(f"s{i}") for i in range(len(columns))],
     ).first()
-    targets = []
-    for i in range(width):
-        n = size[f"n{i}"]
+    wanted = []
+    for i in range(len(columns)):
         for j, p in enumerate(probs):
-            if n:
-                at = p * (n - 1)
-                targets.append({
-                    "col": i, "prob": j, "rank": math.floor(at), "frac": at - math.floor(at), "n": n,
-                    "lo": seen[f"s{i}"][2 * j], "hi": seen[f"s{i}"][2 * j + 1],
-                    "min": seen[f"lo{i}"], "max": seen[f"hi{i}"],
-                })
-    _narrow(part, targets, candidates)
-    found = _read_ranks(part, targets)
-    out: list[list[float | None]] = [[None] * len(probs) for _ in range(width)]
-    for t, (low, high) in zip(targets, found):
-        out[t["col"]][t["prob"]] = low + (high - low) * t["frac"]
-    return out
-
-
-def _direct(part: DataFrame, sizes: list[int], probs: Sequence[float]) -> list[list[float | None]]:
-    """Read ranks off the collapsed values; for tables whose row count is bounded."""
-    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("v")) for i in range(len(sizes))])
-    counts = part.select(F.inline(cells)).where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    at = [[p * (n - 1) if n else 0.0 for n in sizes] for p in probs]
-    rank = lambda j: F.element_at(F.array(*[F.lit(math.floor(x)) for x in at[j]]), F.col("k") + 1)
-    found = counts.withColumn("_upto", upto).groupBy("k").agg(
-        *[F.min(F.when(F.col("_upto") > rank(j) + d, F.col("v"))).alias(f"q{j}_{d}") for j in range(len(probs)) for d in (0, 1)]
-    )
-    rows = {r["k"]: r for r in found.collect()}
-
-    def value(i: int, j: int) -> float | None:
-        if i not in rows:
-            return None
-        low, high = rows[i][f"q{j}_0"], rows[i][f"q{j}_1"]
-        return low if high is None else low + (high - low) * (at[j][i] - math.floor(at[j][i]))
-
-    return [[value(i, j) for j in range(len(probs))] for i in range(len(sizes))]
-
-
-def _narrow(part: DataFrame, targets: list[dict], candidates: int) -> None:
-    """Fix wrong brackets and shrink large ones until each holds few distinct values."""
-    for _ in range(8):
-        stats = part.agg(
-            *[F.count_if(F.col(f"v{t['col']}") < t["lo"]).alias(f"b{k}") for k, t in enumerate(targets)],
-            *[F.count_if(F.col(f"v{t['col']}") <= t["hi"]).alias(f"e{k}") for k, t in enumerate(targets)],
-            *[
-                F.percentile_approx(
-                    F.when(F.col(f"v{t['col']}").between(t["lo"], t["hi"]), F.col(f"v{t['col']}")),
-                    [x / 64 for x in range(65)], 10_000,
-                ).alias(f"g{k}")
-                for k, t in enumerate(targets)
-            ],
-        ).first()
-        changed = False
-        for k, t in enumerate(targets):
-            t["below"], upto = stats[f"b{k}"], stats[f"e{k}"]
-            if t["below"] > t["rank"] or upto < min(t["rank"] + 2, t["n"]):
-                t["lo"], t["hi"], changed = t["min"], t["max"], True
-                continue
-            inside = upto - t["below"]
-            grid = stats[f"g{k}"]
-            if inside > candidates and grid[0] < grid[-1]:
-                share = (t["rank"] - t["below"]) / inside
-                low = grid[max(0, math.floor(share * 64) - 1)]
-                high = grid[min(64, math.ceil(share * 64) + 2)]
-                if (low, high) != (t["lo"], t["hi"]):
-                    t["lo"], t["hi"], changed = low, high, True
-        if not changed:
-            return
-    stats = part.agg(
-        *[F.count_if(F.col(f"v{t['col']}") < t["lo"]).alias(f"b{k}") for k, t in enumerate(targets)],
-        *[F.count_if(F.col(f"v{t['col']}") <= t["hi"]).alias(f"e{k}") for k, t in enumerate(targets)],
-    ).first()
-    for k, t in enumerate(targets):
-        t["below"] = stats[f"b{k}"]
-        if t["below"] > t["rank"] or stats[f"e{k}"] < min(t["rank"] + 2, t["n"]):
-            t["lo"], t["hi"], t["below"] = t["min"], t["max"], 0
-
-
-def _read_ranks(part: DataFrame, targets: list[dict]) -> list[tuple[float, float]]:
-    """Values at rank and rank + 1 (0-based) of every target."""
-    wanted = F.array(*[
-        F.when(F.col(f"v{t['col']}").between(t["lo"], t["hi"]), F.struct(F.lit(k).alias("k"), F.col(f"v{t['col']}").alias("v")))
-        for k, t in enumerate(targets)
-    ])
-    counts = (
-        part.select(F.inline(F.array_compact(wanted))).groupBy("k", "v").agg(F.count("*").alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto)
-    rank = reduce(lambda a, kt: a.when(F.col("k") == kt[0], F.lit(kt[1]["rank"] - kt[1]["below"])), enumerate(targets), F.when(F.lit(False), F.lit(0)))
-    rows = (
-        ranked.withColumn("_rank", rank)
-        .groupBy("k")
-        .agg(
-            F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("v"))).alias("low"),
-            F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("v"))).alias("high"),
-        )
-        .collect()
-    )
-    by_key = {r["k"]: (r["low"], r["high"] if r["high"] is not None else r["low"]) for r in rows}
-    return [by_key[k] for k in range(len(targets))]
+            if seen[f"n{i}"]:
+                at = p * (seen[f"n{i}"] - 1)
+                wanted.append({"col": i, "prob": j, "rank": math.floor(at), "frac": at - math.floor(at), "n": seen[f"n{i}"],
+                               "lo": seen[f"s{i}"][2 * j], "hi": seen[f"s{i}"][2 * j + 1]})
+    out: list[list[float | None]] = [[None] * len(probs) for _ in columns]
+    todo = wanted
+    while todo:
+        found = _ranked(values, todo)
+        again = []
+        for k, t in enumerate(todo):
+            low, high = found.get(k, (None, None))
+            if low is None or (high is None and t["rank"] + 1 < t["n"] and t["frac"]):
+                again.append(t | {"lo": -math.inf, "hi": math.inf})
+            else:
+                out[t["col"]][t["prob"]] = low if not t["frac"] else low + (high - low) * t["frac"]
+        todo = again
+    return dict(zip(columns, out))
+
+
+def _ranked(values: DataFrame, wanted: list[dict]) -> dict[int, tuple[float | None, float | None]]:
+    """Values at rank and rank + 1 (0-based) of each target, None where its bracket does not hold the rank.
+
+    A value below the bracket is counted under no value, which sorts first.
+    """
+    cells = [
+        F.when(F.col(f"v{t['col']}") <= t["hi"], F.struct(F.lit(k).alias("k"), F.when(F.col(f"v{t['col']}") >= t["lo"], F.col(f"v{t['col']}")).alias("v")))
+        for k, t in enumerate(wanted)
+    ]
+    counts = values.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("k", "v").agg(F.count("*").alias("n"))
+    dealt = ordered_parts(counts, ["k", "v"])
+    upto = prefix_sums(dealt, ["k"], "_part", ["v"], {"_upto": "n"})
+    rank = F.get(F.array(*[F.lit(t["rank"]).cast("long") for t in wanted]), F.col("k"))
+    hit = lambda d: F.min(F.when(F.col("_upto") > rank + d, F.struct("_upto", "v")))
+    found = upto.groupBy("k").agg(hit(0).alias("low"), hit(1).alias("high")).collect()
+    pick = lambda x: x["v"] if x is not None else None
+    return {r["k"]: (pick(r["low"]), pick(r["high"])) for r in found}

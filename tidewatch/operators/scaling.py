@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.names import c
-from ..functions.numeric import finite, pearson
+from ..functions.numeric import finite
 from ..session import bounded, local_table
 from .quality import wide_to_long
 from .quantiles import quantiles
 
+#: Rows from which the shift of a Gram matrix is taken.
+SHIFT_ROWS = 1000
+#: A variance below this share of the mean square is rounding: the column is constant.
+FLAT = 1e-11
+
 PARAMETER_SCHEMA = "pos int, feature string, fill double, center double, scale double"
 
 
@@ -96,47 +103,61 @@ def fill_report(df: DataFrame, fills: dict[str, float]) -> DataFrame:
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float = config.CORRELATION_THRESHOLD) -> list[str]:
-    """Columns whose |r| with an earlier column is above the threshold.
+    """Columns whose |r| with an earlier column is above the threshold; an undefined r drops none. One scan."""
+    r = np.abs(pearson_matrix(masked_gram(df, columns)[0]))
+    return [name for j, name in enumerate(columns) if any(r[i, j] > threshold for i in range(j))]
+
+
+def masked_gram(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cross products of [mask, value, value squared] of all columns, three by three blocks, and the shift of the values.
 
-    One pass builds the columns x columns Gram matrix; NaN never drops a column.
+    One scan: a task multiplies its batches and gives one matrix, row by row; rows of equal place are
+    added on as many tasks as there are rows. Values are shifted to about 0 first, which
+    keeps the products exact enough; the shift comes from a few rows and changes no correlation.
     """
-    vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(columns))], outputCol="v", handleInvalid="error")
-    rows = vector.transform(df.select(*[finite(c(n)).alias(f"x{i}") for i, n in enumerate(columns)])).select("v")
-    matrix = Correlation.corr(rows, "v", "pearson").first()[0].toArray()
-    return [
-        name for j, name in enumerate(columns)
-        if any(abs(matrix[i][j]) > threshold for i in range(j))
-    ]
+    names = [f"x{i}" for i in range(len(columns))]
+    values = df.select(*[finite(c(n)).alias(x) for x, n in zip(names, columns)])
+    few = values.limit(SHIFT_ROWS).agg(*[F.avg(x).alias(x) for x in names]).first()
+    late = [x for x in names if few[x] is None]  # a column whose first rows are empty
+    some = values.agg(*[F.first(x, True).alias(x) for x in late]).first().asDict() if late else {}
+    shift = np.array([few[x] if few[x] is not None else some[x] or 0.0 for x in names])
+    width = 3 * len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = np.stack([np.asarray(col.to_numpy(zero_copy_only=False), float) for col in batch.columns], 1) - shift
+            mask = ~np.isnan(x)
+            x[~mask] = 0.0
+            z = np.concatenate([mask, x, x * x], 1)
+            total += z.T @ z
+        if total.any():
+            yield pa.record_batch([pa.array(range(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
+
+    rows = values.mapInArrow(products, "i int, v array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+    gram = np.zeros((width, width))
+    for r in rows:
+        gram[r["i"]] = r["v"].toArray()
+    return gram, shift
+
+
+def pearson_matrix(gram: np.ndarray) -> np.ndarray:
+    """Pairwise-complete correlations from a masked Gram matrix; NaN where either side is constant or has under two rows."""
+    d = len(gram) // 3
+    n, sx, sxx, sxy = gram[:d, :d], gram[d : 2 * d, :d], gram[2 * d :, :d], gram[d : 2 * d, d : 2 * d]
+    sy, syy = sx.T, sxx.T  # sums over rows where both are present
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        flat = (vx <= FLAT * n * sxx) | (vy <= FLAT * n * syy)
+        r = (n * sxy - sx * sy) / np.sqrt(vx * vy)
+    return np.where(flat | (n < 2), np.nan, np.clip(r, -1.0, 1.0))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, j, r) for i < j, in one aggregate per chunk of pairs; NULL r where undefined."""
-    values = df.select(*[finite(c(n)).alias(f"x{i}") for i, n in enumerate(columns)])
-    pairs = list(combinations(range(len(columns)), 2))
-    parts = []
-    # Ten buffers a pair: more than nine pairs would leave generated code.
-    for start in range(0, len(pairs), 9):
-        chunk = pairs[start : start + 9]
-        row = values.agg(*[pearson(f"x{i}", f"x{j}").alias(f"r_{i}_{j}") for i, j in chunk])
-        parts.append(
-            row.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("left"),
-                                F.lit(columns[j]).alias("right"), F.col(f"r_{i}_{j}").alias("r"),
-                            )
-                            for i, j in chunk
-                        ]
-                    )
-                )
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(i, j, r) for i < j over rows where both are present, from one scan; NULL r where undefined."""
+    r = pearson_matrix(masked_gram(df, columns)[0])
+    rows = [(i, j, columns[i], columns[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(range(len(columns)), 2)]
+    return local_table(df.sparkSession, rows, "i int, j int, left string, right string, r double")
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "robust", **limits) -> tuple[dict[str, float], dict[str, float]]:

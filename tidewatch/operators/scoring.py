@@ -14,10 +14,7 @@ from ..functions.verdict import (
     argmax_class, bin_label, confidence_bin, direction_text, increases_threat, is_attack, probability_map, threat_level,
 )
 from ..session import bounded, local_table
-from .prefix import position_bucket
-
-# Up to this many rows a sorted limit is left to the engine.
-SMALL_LIMIT = 1000
+from .prefix import row_at
 
 
 def with_verdict(df: DataFrame, probs: str = "probs", classes: Sequence[str] = config.CLASSES) -> DataFrame:
@@ -78,27 +75,18 @@ def dataset_profile(df: DataFrame, truth: str = "truth") -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, order: str, limit: int, buckets: int = 65_536) -> DataFrame:
-    """The first ``limit`` rows by a unique whole-number position, in that order.
+def first_rows(df: DataFrame, order: str | Sequence[str], limit: int, parts: int | None = None) -> DataFrame:
+    """The first ``limit`` rows by the columns ``order`` of any type, null first, in that order.
 
-    A sorted limit would bring ``limit`` rows of every partition to one task. Above
-    a small limit the position of the last row wanted is found from bucket counts
-    instead, and the table is filtered with it.
+    A sorted limit would bring ``limit`` rows of every partition to one task. Here the key of the last row
+    wanted is found over ordered ranges of the keys, and the table is filtered with it. ``order`` should be unique:
+    rows that tie with the last one are all returned.
     """
-    if limit <= SMALL_LIMIT:
-        return df.orderBy(order).limit(limit)
-    position = F.col(order)
-    span = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    placed = df.select(order).crossJoin(F.broadcast(span)).select(
-        order, position_bucket(position, F.col("_low"), F.col("_high"), buckets).alias("_bucket")
-    )
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    edge = counts.withColumn("_need", F.lit(limit) - (upto - F.col("_n"))).where("_need > 0 AND _need <= _n")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    last = placed.join(F.broadcast(edge), "_bucket").withColumn("_rank", rank).where("_rank = _need")
-    cut = last.agg(F.max(order).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col("_cut").isNull() | (position <= F.col("_cut"))).drop("_cut").orderBy(order)
+    keys = [order] if isinstance(order, str) else list(order)
+    if limit <= 0:
+        return df.limit(0)
+    cut = row_at(df, keys, limit, parts).agg(F.max(F.struct(*keys)).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).where(F.col("_cut").isNull() | (F.struct(*keys) <= F.col("_cut"))).drop("_cut").orderBy(*keys)
 
 
 def page(df: DataFrame, order: str, number: int, size: int = 20) -> DataFrame:

@@ -147,12 +147,12 @@ def drain_complete(aggregated: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{path}/batch={max(ids)}")
 
 
-def running_totals(scored: DataFrame, position: str, truth: str = "truth", buckets: int = 256) -> DataFrame:
-    """Session totals after every row, in batch form.
+def running_totals(scored: DataFrame, position: str, truth: str = "truth", parts: int | None = None) -> DataFrame:
+    """Session totals after every row, in batch form; ``position`` is a unique key of any type.
 
-    The positions are cut into buckets, so no task holds the whole session.
+    The rows are dealt to ordered ranges, however the positions are spread, so no task holds the whole session.
     """
-    from ..operators.prefix import position_bucket, prefix_sums
+    from ..operators.prefix import ordered_parts, prefix_sums
 
     known = F.col(truth).isNotNull()
     flags = {
@@ -162,12 +162,8 @@ def running_totals(scored: DataFrame, position: str, truth: str = "truth", bucke
         "_correct": F.coalesce((F.col(truth) == F.col("prediction")).cast("long"), F.lit(0)),
     }
     rows = scored.select(position, *[v.alias(k) for k, v in flags.items()])
-    span = scored.agg(F.min(position).alias("_low"), F.max(position).alias("_high"))
-    placed = rows.crossJoin(F.broadcast(span)).withColumn(
-        "_bucket", position_bucket(F.col(position), F.col("_low"), F.col("_high"), buckets)
-    )
     sums = {"flows": "_flow", "attacks": "_attack", "labelled": "_labelled", "correct": "_correct"}
-    totals = prefix_sums(placed, [], "_bucket", [position], sums, total_rows=buckets + 1)
+    totals = prefix_sums(ordered_parts(rows, [position], parts), [], "_part", [position], sums)
     return totals.select(
         position, "flows", "attacks", "labelled", "correct",
         ratio(F.col("attacks"), F.col("flows")).alias("attack_rate"),
