@@ -113,7 +113,7 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
        CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE left_text END AS text
 FROM d LEFT JOIN j USING (r)""",
     "op8_url_rules": f"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (
   SELECT page_id, url, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host,
@@ -132,14 +132,19 @@ tok AS (
     CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END)) AS token
   FROM (SELECT DISTINCT url, host, path FROM q WHERE host <> '')),
 lab AS (SELECT url, verdict = 'block' AS blocked FROM r),
-sets AS (
-  SELECT url, token AS a, token AS b FROM tok
-  UNION ALL SELECT x.url, x.token, y.token FROM tok x JOIN tok y ON x.url = y.url AND x.token < y.token),
+lim AS (SELECT ceil({url_rules.MIN_SUPPORT} * count(*)) AS least FROM lab),
+bt AS (SELECT url, token FROM tok JOIN lab USING (url) WHERE blocked QUALIFY count(*) OVER (PARTITION BY token) >= (SELECT least FROM lim)),
+lev(url, items, top) AS (
+  SELECT url, [token], token FROM bt
+  UNION ALL SELECT * FROM (
+    SELECT lev.url, list_append(items, token) AS items, token FROM lev JOIN bt ON bt.url = lev.url AND token > top
+    QUALIFY count(*) OVER (PARTITION BY list_append(items, token)) >= (SELECT least FROM lim))),
+has AS (SELECT url, list(token) AS toks FROM tok GROUP BY url),
+supported AS (SELECT items, count(*) AS n FROM lev GROUP BY items),
 mined AS (
-  SELECT a, b FROM sets JOIN lab USING (url) GROUP BY a, b
-  HAVING count(*) FILTER (blocked) >= ceil({url_rules.MIN_SUPPORT} * (SELECT count(*) FROM lab))
-     AND count(*) FILTER (blocked) * 1.0 / count(*) >= {url_rules.MIN_CONFIDENCE}),
-hit AS (SELECT DISTINCT url FROM sets JOIN mined USING (a, b))
+  SELECT items FROM supported JOIN (SELECT toks FROM has JOIN lab USING (url)) l ON list_has_all(toks, items)
+  GROUP BY items, n HAVING n * 1.0 / count(*) >= {url_rules.MIN_CONFIDENCE}),
+hit AS (SELECT DISTINCT url FROM has JOIN mined ON list_has_all(toks, items))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM q LEFT JOIN r ON q.url = r.url LEFT JOIN hit ON q.url = hit.url""",
     "op9_near_dedup": f"""

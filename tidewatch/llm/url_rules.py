@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import bounded, local_table
 from .common import lower_ascii, stored
@@ -59,6 +60,30 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
+def token_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, name): tokens of ``labelled`` (tokens, blocked) that enough blocked rows hold; tokens of the same rows share a name.
+
+    Tokens that always come together tell the same, and k of them would be in 2^k frequent sets.
+    A token's rows are known by their number and by sums of two hashes of what they hold. A row has a bounded
+    number of tokens, so at most that number over ``min_support`` tokens are left.
+    """
+    known = labelled.where("blocked is not null").withColumn("tokens", F.array_sort(F.array_distinct("tokens")))
+    least = F.ceil(F.lit(min_support) * F.lit(known.count()))
+    wide = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(20,0)"))
+    rows = known.select("tokens", "blocked", F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b"), wide("tokens").alias("x"), wide(F.lit(1), "tokens").alias("y"))
+    held = held.where((F.col("b") > 0) & (F.col("b") >= least))
+    same = W.partitionBy("n", "b", "x", "y")
+    return stored(held.select("token", F.min("token").over(same).alias("name")), "token-classes")
+
+
+def in_classes(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """``rows`` (key, tokens, ..) with the distinct names of their tokens' classes; a row without any has none."""
+    each = rows.select(key, F.explode("tokens").alias("token")).join(bounded(classes, classes.count()), "token")
+    named = each.groupBy(key).agg(F.collect_set("name").alias("tokens"))
+    return rows.drop("tokens").join(named, key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence) for blocking from ``labelled`` (tokens, blocked), by parallel FP-growth.
 
@@ -71,10 +96,11 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCKED)
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"), "mined-rules")
-    # shorter rules under their first token, which a longer one must hold
-    short = rules.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("token"))
-    longer = rules.where(F.size("tokens") > 1).select("tokens", F.explode("tokens").alias("token"))
-    inside = longer.join(bounded(short, short.count()), "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+    # a shorter rule stands under the token that the fewest rules hold, which a longer one must hold, too
+    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    rare = each.groupBy("token").agg(F.count("*").alias("n"))
+    short = each.join(rare, "token").groupBy(F.col("tokens").alias("part")).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    inside = each.join(short, "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
     return rules.join(inside.select("tokens").distinct(), "tokens", "left_anti")
 
 
@@ -99,7 +125,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     where a mined rule fires, else allowed. ``labels`` (page_id, blocked) teaches the
     mined rules; where it is None, the URLs that given rules decide are the labelled ones.
     Null and malformed URLs have an empty host and path, hold no token a rule could meet
-    and are allowed. Rows that repeat a page_id or url are judged alike; a label of a
+    and are allowed; very long URLs are read whole. Rows that repeat a page_id or url are judged alike; a label of a
     null page_id teaches nothing. An empty table gives an empty one.
     """
     url = F.col("url").cast("string")
@@ -111,14 +137,18 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     # rows of one url are judged once
     distinct = base.where("url is not null").select("url", "given", tokens.alias("tokens")).dropDuplicates(["url"])
     if labels is None:
-        labelled = distinct.where("given is not null").select("tokens", (F.col("given.verdict") == "block").alias("blocked"))
+        labelled = distinct.where("given is not null").select("url", "tokens", (F.col("given.verdict") == "block").alias("blocked"))
     else:
         known = labels.select(F.col("page_id"), F.col("blocked").cast("boolean").alias("blocked")).where("page_id is not null and blocked is not null")
         known = known.groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-        labelled = base.join(known, "page_id").select(tokens.alias("tokens"), "blocked")
+        labelled = base.join(known, "page_id").select("url", tokens.alias("tokens"), "blocked")
+    classes = token_classes(labelled, min_support)
+    # rows of one url hold the same tokens, so they are named once
+    named = in_classes(labelled.select("url", "tokens").dropDuplicates(["url"]), "url", classes)
+    labelled = stored(labelled.drop("tokens").join(named, "url"), "labelled")
     mined = mine_rules(labelled, min_support, min_confidence)
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    open_rows = distinct.where("given is null").select(F.col("url").alias("row_id"), "tokens")
+    open_rows = in_classes(distinct.where("given is null").select(F.col("url").alias("row_id"), "tokens"), "row_id", classes)
     hit = fired(open_rows, mined, counts).select(F.col("row_id").alias("url"), F.lit(True).alias("hit"))
     out = base.join(hit, "url", "left")
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
