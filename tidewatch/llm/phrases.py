@@ -33,9 +33,11 @@ MIN_COUNT = 30
 INSIDE = 80
 TOP = 2000
 #: Words a task counts before it hands its counts on, which bounds its memory.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 600_000
 #: log2 of the bits of the table of frequent pairs: 4 MB.
 TABLE_BITS = 25
+#: Phrases written out at once.
+OUT_ROWS = 50_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _MARK = bytes.maketrans(_BREAKS, b"." * len(_BREAKS))
@@ -72,31 +74,37 @@ def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, code, n
 
 
-def _count_chunk(codes: np.ndarray, words: list[bytes], lang: str, known: np.ndarray | None, table_bits: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(m, phrases, counts) of one chunk: 0, 1 and 2 words without ``known``, else 3 and 4."""
-    text = lambda at, m: [b" ".join([words[c] for c in codes[a : a + m].tolist()]) for a in at.tolist()]
+def _texts(places: np.ndarray, m: int, codes: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """The phrases of ``m`` words that begin at ``places``."""
+    return list(map(b" ".join, zip(*(words[codes[places + i]] for i in range(m)))))
+
+
+def _count_chunk(codes: np.ndarray, words: np.ndarray, lang: str, known: np.ndarray | None, table_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(m, places, counts) of one chunk: 0, 1 and 2 words without ``known``, else 3 and 4; a phrase's first place stands for it."""
     two = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
     at, pair, n = _distinct(codes[two], codes[two + 1])
     if known is None:
-        single = np.bincount(codes, minlength=len(words))
-        single[0] = 0
-        seen = np.flatnonzero(single)
-        yield 0, [b""], np.array([single.sum()])
-        yield 1, [words[c] for c in seen.tolist()], single[seen]
-        yield 2, text(two[at], 2), n
+        yield 0, np.zeros(1, np.int64), np.array([(codes > 0).sum()])
+        _, first, count = np.unique(codes, return_index=True, return_counts=True)
+        word = codes[first] > 0
+        yield 1, first[word], count[word]
+        yield 2, two[at], n
         return
-    bits = _bits(text(two[at], 2), lang, table_bits)
-    may = (known[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    may = np.empty(len(at), bool)
+    for k in range(0, len(at), OUT_ROWS):
+        bits = _bits(_texts(two[at[k : k + OUT_ROWS]], 2, codes, words), lang, table_bits)
+        may[k : k + OUT_ROWS] = known[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1
     code = np.full(len(codes) + 3, -1, np.int64)  # per place: the pair that begins there, if it may be frequent
     code[two] = np.where(may[pair], pair, -1)
     three = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
-    at, _, n = _distinct(code[three], code[three + 1])
-    yield 3, text(three[at], 3), n
-    four = three[code[three + 2] >= 0]
-    triple = np.full(len(codes) + 3, -1, np.int64)
-    triple[three] = _distinct(code[three], code[three + 1])[1]
-    at, _, n = _distinct(triple[four], triple[four + 1])
-    yield 4, text(four[at], 4), n
+    at, triple, n = _distinct(code[three], code[three + 1])
+    yield 3, three[at], n
+    in_four = code[three + 2] >= 0
+    next_triple = np.full(len(codes) + 3, -1, np.int64)
+    next_triple[three] = triple
+    four = three[in_four]
+    at, _, n = _distinct(triple[in_four], next_triple[four + 1])
+    yield 4, four[at], n
 
 
 def _counter(known, table_bits: int, chunk_words: int):
@@ -104,20 +112,22 @@ def _counter(known, table_bits: int, chunk_words: int):
 
     def flush(lang: str, parts: list[np.ndarray], codes: _Codes) -> Iterator[pa.RecordBatch]:
         table = None if known is None else known.value
-        for m, phrases, n in _count_chunk(np.concatenate(parts), codes.words, lang, table, table_bits):
-            for k in range(0, len(phrases), 100_000):
-                part = phrases[k : k + 100_000]
+        whole, words = np.concatenate(parts), np.array(codes.words, object)
+        for m, places, n in _count_chunk(whole, words, lang, table, table_bits):
+            for k in range(0, len(places), OUT_ROWS):
+                part = places[k : k + OUT_ROWS]
+                phrases = _texts(part, m, whole, words) if m else [b""]
                 yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), m, np.int32)),
-                                       pa.array(part, pa.binary()), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "m", "phrase", "f"])
+                                       pa.array(phrases, pa.binary()), pa.array(n[k : k + OUT_ROWS].astype(np.int64))], names=["lang", "m", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[str, _Codes] = {}
         waiting: dict[str, list[np.ndarray]] = {}
         held = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 codes = vocabulary.setdefault(lang, _Codes())
-                words = _words(text)
+                words = _words(text.as_py())
                 words.append(b".")
                 waiting.setdefault(lang, []).append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
                 held += len(words)
