@@ -21,7 +21,8 @@ copies costs n comparisons per key, and no pair within the radius is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import heavy_lookup, stored
 
 CHUNKS, WIDTH = 21, 6
 SYMBOLS = CHUNKS * WIDTH
@@ -38,6 +39,10 @@ RADIUS = 2 * CHUNKS - 1
 PLACES = 127
 #: Shingles hashed at once, which bounds the memory of a very long text.
 STEP = 1024
+#: Bits of each symbol by which pairs are ruled out where they meet.
+BITS = 4
+#: Far nodes of a bucket, at most, with which its near nodes are compared by their lowest bits before they are dealt out.
+FEW = 128
 #: Rows of one block of a large bucket.
 BLOCK = 256
 #: Shingles of one block, for very long texts.
@@ -112,7 +117,7 @@ def _sets(size: int):
                 counts.append(len(h))
                 digests.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
                 signs.append(signature(h).tobytes() if len(h) else None)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": np.array(counts, np.int64),
+            yield pd.DataFrame({"doc_id": part["doc_id"], "x": part["x"], "y": part["y"], "n_shingles": np.array(counts, np.int64),
                                 "digest": digests, "signature": signs})
 
     return run
@@ -133,11 +138,13 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Distance, and the lowest two bits of every symbol of ``a`` as four longs."""
+    """Distance, and the lowest ``BITS`` bits of every symbol of ``a`` as two longs a bit."""
     x = _rows(a)
-    bits = [np.packbits((x >> k) & 1, axis=1) for k in (0, 1)]
-    longs = [np.ascontiguousarray(p).view(">i8").astype(np.int64) for p in bits]
-    return pd.DataFrame({"d": (x != _rows(b)).sum(1).astype(np.int32), "p0": longs[0][:, 0], "p1": longs[0][:, 1], "p2": longs[1][:, 0], "p3": longs[1][:, 1]})
+    out = {"d": (x != _rows(b)).sum(1).astype(np.int32)}
+    for k in range(BITS):
+        longs = np.ascontiguousarray(np.packbits((x >> k) & 1, axis=1)).view(">i8").astype(np.int64)
+        out |= {f"p{2 * k}": longs[:, 0], f"p{2 * k + 1}": longs[:, 1]}
+    return pd.DataFrame(out)
 
 
 def _linked(size: int, percent: int):
@@ -186,18 +193,24 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         before = after
 
 
-def _differ(x: str, y: str) -> Column:
-    """Symbols whose lowest two bits differ: at most the distance, which rules out most pairs where they meet."""
-    xor = lambda k: F.col(f"{x}p{k}").bitwiseXOR(F.col(f"{y}p{k}"))
-    return sum(F.bit_count(xor(k).bitwiseOR(xor(k + 2))) for k in (0, 1))
+PLANES = [f"p{k}" for k in range(2 * BITS)]
+
+
+def _differ(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Symbols whose lowest bits differ: at most the distance, which rules out most pairs where they meet."""
+    halves = []
+    for half in (0, 1):
+        some = [x(p).bitwiseXOR(y(p)) for p in PLANES[half::2]]
+        halves.append(reduce(Column.bitwiseOR, some))
+    return F.bit_count(halves[0]) + F.bit_count(halves[1])
 
 
 def _second(bucket: DataFrame, stars: DataFrame, sign) -> DataFrame:
     """(a, b) within the radius of a second leader, drawn anew for each key among the nodes far from the first."""
     far = bucket.where("rows > 2").join(stars.where(f"d > {RADIUS}"), ["node", "leader"])
-    drawn = far.groupBy("key").agg(F.min_by(F.struct("node", "p0", "p1", "p2", "p3"), F.xxhash64("key", "node")).alias("s"))
-    met = far.join(drawn.select("key", "s.node", *[f"s.p{k}" for k in range(4)]).toDF("key", "second", *[f"sp{k}" for k in range(4)]), "key")
-    met = met.where((F.col("node") != F.col("second")) & (_differ("", "s") <= RADIUS))
+    drawn = far.groupBy("key").agg(F.min_by(F.struct("node", *PLANES), F.xxhash64("key", "node")).alias("s"))
+    met = far.join(drawn.select("key", F.col("s.node").alias("second"), "s"), "key")
+    met = met.where((F.col("node") != F.col("second")) & (_differ(F.col, lambda p: F.col("s")[p]) <= RADIUS))
     return _close(met.select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct(), sign)
 
 
@@ -240,24 +253,38 @@ def _first_meeting(unlike: Column) -> Column:
     return F.coalesce(*places)
 
 
-def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, one: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the radius that share a bucket and are of different groups, each once.
+def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, roots: DataFrame, one: DataFrame) -> DataFrame:
+    """Pairs (a, b) within the radius that share a bucket and are of different groups and components, each once.
 
-    A pair shares up to ``SYMBOLS`` keys; it is taken at its first. Buckets without a far node or of
-    one group are left out, and the distance is counted on the bit planes where a pair meets.
+    Buckets without a far node, of one group or of one component are left out. Of the others a node near the leader stays
+    only where the triangle inequality allows a far node within the radius, and, in a bucket of at most
+    ``FEW`` far nodes, where the lowest bits of each symbol allow one of them. A pair shares up to ``SYMBOLS`` keys; it is
+    taken at its first, and the distance is counted on the bit planes where a pair meets.
     """
-    others = bucket.where("rows > 2").join(stars.select("node", "leader", "d"), ["node", "leader"]).join(group, "node", "left")
-    others = others.select("key", "node", "d", F.coalesce("group_id", "node").alias("group_id"))
-    live = others.groupBy("key").agg(F.max("d").alias("d"), F.min("group_id").alias("g"), F.max("group_id").alias("h"))
-    planes = one.select("node", F.pandas_udf(_planes, "array<long>")("signature").alias("planes"))
-    others = others.join(live.where(f"d > {RADIUS} and g <> h").select("key"), "key", "left_semi")
+    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(group, "node", "left").join(roots, "node", "left")
+    others = others.select("key", "node", "d", *PLANES, F.coalesce("group_id", "node").alias("group_id"), F.coalesce("root", "node").alias("root"))
+    far = F.col("d") > RADIUS
+    live = others.groupBy("key").agg(
+        F.min(F.when(far, F.col("d"))).alias("least"), F.count_if(far).alias("n_far"), F.min("group_id").alias("g"), F.max("group_id").alias("h"),
+        F.min("root").alias("r"), F.max("root").alias("s")).where("least is not null and g <> h and r <> s").select("key", "least", "n_far")
+    live = stored(live, "live")
+    few = others.where(far).join(live.where(F.col("n_far") <= FEW).select("key"), "key")
+    few = few.groupBy("key").agg(F.collect_list(F.struct(*PLANES, "group_id", "root")).alias("few"))
+    close = lambda z: _differ(F.col, lambda p: z[p]) <= RADIUS
+    other = lambda z: (z["group_id"] != F.col("group_id")) & (z["root"] != F.col("root"))
+    wanted = F.when(F.col("few").isNotNull(), F.exists("few", lambda z: close(z) & other(z))).otherwise(F.col("d") >= F.col("least") - RADIUS)
+    # a far node's own entry is of its own group, so it stays for other far nodes and for the near ones that do
+    others = others.join(live.join(few, "key", "left"), "key").where(far | wanted)
+    others = others.select("key", "node", "d", "group_id", "root")
+    signs = one.select("node", F.pandas_udf(_planes, "array<long>")("signature").alias("planes"))
     # a node has at most SYMBOLS keys; its planes are looked up once for all of them
-    others = others.groupBy("node").agg(F.collect_list(F.struct("key", "d", "group_id")).alias("met")).join(planes, "node")
+    others = others.groupBy("node").agg(F.collect_list(F.struct("key", "d", "group_id", "root")).alias("met")).join(signs, "node")
     others = stored(others.select("node", "planes", F.inline("met")), "far")
     low, high = _unlike()
     first = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), _first_meeting)[0]
     met = others.where(f"d > {RADIUS}").alias("x").join(
-        others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group_id") != F.col("y.group_id")) & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
+        others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group_id") != F.col("y.group_id")) & (F.col("x.root") != F.col("y.root"))
+        & (F.abs(F.col("x.d") - F.col("y.d")) <= RADIUS)
         & ((F.col("y.d") <= RADIUS) | (F.col("x.node") < F.col("y.node"))) & (F.bit_count(low) + F.bit_count(high) <= RADIUS)
         & (first == F.col("x.key").bitwiseAND(F.lit(PLACES).cast("long"))))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
@@ -338,19 +365,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     consecutive words link where 100 * intersection >= ``percent`` * union; a text of
     fewer words is one shingle. Null and empty texts have no set: they are their own
     class and stay. component_id is the smallest doc_id reachable, and ``kept`` marks the
-    rows that carry it. Rows that repeat a doc_id fall into one class; a null doc_id is
-    always kept and stands for no class but its own (component_id null). Ties cannot
-    arise, an empty table gives an empty one, and other columns are not looked at.
+    rows that carry it. Texts of one doc_id are each compared and then fall into one class; a null doc_id is
+    always kept and stands for no class but its own (component_id null); so is a text without words. Ties cannot
+    arise, an empty table gives an empty one, and other columns are not looked at. Very long texts are hashed in
+    steps and compared whole.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(base.mapInPandas(_sets(size), "doc_id long, n_shingles long, digest string, signature binary"), "shingle-sets")
-    # equal sets, and rows of one id, are one node; the smallest id stands for the node
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+    sets = stored(base.mapInPandas(_sets(size), "doc_id long, x long, y long, n_shingles long, digest string, signature binary"), "shingle-sets")
+    # a node is a distinct set, numbered once and for all as it is written
     named = sets.where("doc_id is not null and digest is not null")
-    nodes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n")), "nodes")
-    member = named.select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
-    same = member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-
-    one = nodes.groupBy("node").agg(F.first("signature").alias("signature"), F.max("n").alias("n"))
+    nodes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "x", "y")).alias("first"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    one = nodes.select("node", "signature", "n")
     keys = one.mapInPandas(_keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("rows"))
     bucket = stored(keys.join(shared.where("leader <> last").drop("last"), "key"), "buckets")
@@ -359,10 +386,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sign = lambda name, out: one.select(F.col("node").alias(name), F.col("signature").alias(out))
     stars = bucket.where("node <> leader").select("node", "leader").distinct()
     stars = stars.join(sign("node", "s"), "node").join(sign("leader", "t"), "leader")
-    compared = F.pandas_udf(_compared, "d int, p0 long, p1 long, p2 long, p3 long")
+    compared = F.pandas_udf(_compared, "d int, " + ", ".join(f"{p} long" for p in PLANES))
     stars = stored(stars.select("node", "leader", compared("s", "t").alias("c")).select("node", "leader", "c.*"), "stars")
 
-    texts = base.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    texts = base.join(nodes.select("node", "first.*"), ["doc_id", "x", "y"]).select("node", "text").dropDuplicates(["node"])
     linked = F.pandas_udf(_linked(size, percent), "boolean")("text_a", "text_b")
     near = stars.where(f"d <= {RADIUS}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = stored(_confirmed(near, texts, linked), "links")
@@ -372,9 +399,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     apart = _blocks(group, roots, one)
     apart = stored(apart.join(one.select("node", "signature"), "node").join(texts, "node"), "blocks")
     inside = apart.groupBy("group_id", "i", "j").applyInPandas(_within(size, percent), "a long, b long")
-    links = links.union(stored(inside, "links")).union(stored(_confirmed(_far(bucket, stars, group, one), texts, linked), "links"))
+    links = links.union(stored(inside, "links"))
+    roots = stored(components(links, "roots"), "roots")
+    links = links.union(stored(_confirmed(_far(bucket, stars, group, roots, one), texts, linked), "links"))
+    # the sets of one doc_id hang together; few ids have more than one
+    member = heavy_lookup(named.select("doc_id", "digest"), nodes.select("digest", "node", "rows"), ["digest"], "rows")
+    member = stored(member.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "members")
+    several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last")
+    same = member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     final = components(links.select("a", "b").union(same), "classes")
-
-    out = sets.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    root = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    root = nodes.select("node", F.col("first.doc_id").alias("first_id")).join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    least = root.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = stored(nodes.select("digest", "node", "rows").join(root.select("node", "root").join(least, "root"), "node").select("digest", "component_id", "rows"), "found")
+
+    alone = sets.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = heavy_lookup(named.select("doc_id", "n_shingles", "digest"), found, ["digest"], "rows").select("doc_id", "n_shingles", "component_id").union(alone)
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
