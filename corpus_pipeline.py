@@ -27,9 +27,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near duplicates: five words, similarity 0.8.
+
+    Rows are numbered, so rows without an id, of one id or equal ones are told apart; of a group the row with the
+    least number stays. A document without words is in no group.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    near = minhash_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    gone = near.where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
