@@ -289,8 +289,24 @@ register(
     lambda s, d: fx.rounded(_detected(s, d, stattest="ks")["per_feature"].select("pos", "feature", "test", "statistic", "n_ref", "n_cur"), ["statistic"]),
     sql(_SIDES, "SELECT pos, feature, 'ks' AS test, round(statistic, 6) AS statistic, n_ref, n_cur FROM dist", _curve),
 )
-# The p-value has no SQL form.
-register("drift_ks_pvalues", lambda s, d: _detected(s, d, stattest="ks")["per_feature"].select("feature", "score", "drifted"), None)
+# p-values of samples above 1,000 rows by the limiting law, which SQL can state; smaller ones are left to tests
+_P = """CASE WHEN statistic >= 1 THEN 0e0 WHEN statistic <= 0 THEN 1e0 WHEN z * statistic * statistic > 18 THEN least(1e0, 2 * exp(-2 * z * statistic * statistic))
+ ELSE least(1e0, greatest(0e0, 2 * list_sum([CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END * exp(-2e0 * k * k * x * x) FOR k IN range(1, 101)]))) END"""
+_P_FROM = "FROM (SELECT *, s + 1 / (6 * sqrt(z)) + (s - 1) / (4 * z) AS x FROM (SELECT *, sqrt(z) * statistic AS s FROM (SELECT *, round(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) AS z FROM dist)))"
+register("drift_ks_pvalues", lambda s, d: fx.rounded(_detected(s, d, stattest="ks", exact_limit=1000, series_from=1000)["per_feature"].select("feature", "score", "drifted"), ["score"]),
+         sql(_SIDES, f"SELECT feature, round({_P}, 6) AS score, {_P} < 0.05 AS drifted {_P_FROM}", _curve))
+
+
+def kept_reference(spark, sf):
+    """Drift against a histogram of the reference that was written and read back, with the features in another order."""
+    reference, current = fx.drift_sides(spark, sf)
+    path = shared_dir(spark, "kept")
+    drift.value_histogram(reference, _F[::-1]).write(path)
+    return fx.rounded(drift.feature_distances(drift.ValueHistogram.read(spark, path), current, _F), ["spread", "statistic", "raw_distance"], 5)
+
+
+register("drift_kept_reference", kept_reference,
+         sql(_SIDES, "SELECT pos, feature, n_ref, n_cur, round(spread, 5) AS spread, round(statistic, 5) AS statistic, round(raw_distance, 5) AS raw_distance FROM dist", _curve))
 
 
 def reference_snapshot(spark, sf):

@@ -67,23 +67,22 @@ def test_no_shared_columns(spark):
         detect_drift(spark.createDataFrame([(1.0,)], "a double"), spark.createDataFrame([(1.0,)], "b double"))
 
 
-@pytest.mark.parametrize("buckets,rows", [(1, 200_000), (8, 200_000), (64, 100)])
-def test_distances_match_numpy_with_a_hot_value(spark, buckets, rows, monkeypatch):
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_distances_match_numpy_with_a_hot_value(spark, parts):
     """A third of each side is one value, and there are NaN and Inf cells."""
-    monkeypatch.setattr(drift, "BORDER_ROWS", rows)
     rng = np.random.default_rng(11)
     a = np.where(rng.random(3000) < 0.35, 2.0, rng.normal(size=3000))
     b = np.where(rng.random(2000) < 0.35, 2.0, rng.normal(0.4, 1.3, size=2000))
     dirty = np.concatenate([b, [np.nan, np.inf, -np.inf]])
     ref, cur = frame(spark, a[:, None]), frame(spark, dirty[:, None])
-    got = feature_distances(ref, cur, ["feature_0"], buckets).first()
+    got = feature_distances(ref, cur, ["feature_0"], parts).first()
     grid = np.unique(np.concatenate([a, b]))
     f = np.searchsorted(np.sort(a), grid, side="right") / len(a)
     g = np.searchsorted(np.sort(b), grid, side="right") / len(b)
     assert got["statistic"] == pytest.approx(np.abs(f - g).max(), abs=1e-12)
     assert got["raw_distance"] == pytest.approx(np.sum(np.abs(f - g)[:-1] * np.diff(grid)), rel=1e-9)
     assert got["spread"] == pytest.approx(a.std(), rel=1e-9) and (got["n_ref"], got["n_cur"]) == (3000, 2000)
-    assert two_sample_ecdf(ref, cur, ["feature_0"], buckets).count() == len(grid)
+    assert two_sample_ecdf(ref, cur, ["feature_0"], parts).count() == len(grid)
 
 
 @pytest.mark.parametrize("n,m", [(3, 3), (4, 6), (5, 7), (6, 4), (2, 9)])
@@ -110,3 +109,34 @@ def test_ks_pvalue_textbook_values():
     assert ks_pvalue(0.0, 10, 10) == 1.0
     # Exact and limiting forms agree where they meet.
     assert ks_pvalue(0.02, 9_999, 9_999) == pytest.approx(ks_pvalue(0.02, 10_001, 10_001), rel=0.05)
+
+
+def test_each_side_is_read_once(spark):
+    """Sizes, spread, statistic and distance come from one scan of a side; a kept reference is not read again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(parts):
+            for part in parts:
+                seen.add(len(part))
+                yield part
+
+        return df.mapInPandas(run, df.schema)
+
+    ref, cur = pair(spark, 500, 1, 1.0, width=3)
+    want = feature_distances(ref, cur, ref.columns).collect()
+    kept = drift.value_histogram(counted(ref), ref.columns)
+    assert seen.value == 500
+    assert feature_distances(kept, counted(cur), ref.columns).collect() == want
+    assert seen.value == 1000
+    assert [r["feature"] for r in feature_distances(kept, cur, ["feature_2", "feature_0"]).orderBy("pos").collect()] == ["feature_2", "feature_0"]
+
+
+def test_large_and_small_laws_meet(spark):
+    """The expression for large samples gives what the function for single features gives."""
+    from pyspark.sql import functions as F
+
+    rows = [(d, n, m) for d in (0.0, 0.001, 0.01, 0.02, 0.05, 0.4, 1.0) for n, m in ((20_000, 30_000), (10_001, 4_000), (400, 300), (5, 50_000))]
+    got = spark.createDataFrame(rows, "d double, n long, m long").select("*", drift.ks_pvalues(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(ks_pvalue(r["d"], r["n"], r["m"]), rel=1e-9, abs=1e-12)

@@ -1,106 +1,103 @@
 """Per-feature distribution drift between a reference and a current table.
 
-Both sides are collapsed to (feature, value, count) first, with map-side
-combining, so a value that holds a third of all rows is one row afterwards. The
-distribution functions are then running sums over value buckets: a feature is
-spread over many tasks instead of one.
+Each side is read once and collapsed to (feature, value, count) with map-side
+combining, so a value that holds a third of all rows is one row afterwards. A reference is
+kept in that form and merged with every table it is compared with. The
+distribution functions are running sums over ordered ranges of the values: a feature is
+spread over many tasks instead of one, however its values are spread.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
 from ..functions.names import c, shared_columns
 from ..functions.numeric import finite
-from ..session import bounded, local_table
-from .prefix import prefix_sums
-from .quality import wide_to_long
+from ..session import bounded, local_table, stored
+from .prefix import ordered_parts, prefix_sums
 
-BUCKETS = 64
-# Rows looked at when the borders of the value buckets are chosen.
-BORDER_ROWS = 200_000
+# The exact two-sample law holds up to EXACT_LIMIT rows a side, the series of the one-sample law from SERIES_FROM on.
 EXACT_LIMIT = 10_000
-
-
-def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
+SERIES_FROM = 2_000
+
+
+@dataclass(frozen=True)
+class ValueHistogram:
+    """A table's finite values by feature: ``counts`` is (pos, value, n), ``features`` names the positions."""
+
+    counts: DataFrame
+    features: list[str]
+
+    def write(self, path: str) -> None:
+        """Keep the histogram; ``read`` gives it back in any session."""
+        spark = self.counts.sparkSession
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        local_table(spark, list(enumerate(self.features)), "pos int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> "ValueHistogram":
+        names = spark.read.parquet(f"{path}/features").orderBy("pos").collect()
+        return ValueHistogram(spark.read.parquet(f"{path}/counts"), [r["feature"] for r in names])
+
+    def pick(self, features: Sequence[str]) -> "ValueHistogram":
+        """The same histogram for some of the features, in their order."""
+        if list(features) == self.features:
+            return self
+        places = {f: i for i, f in enumerate(features)}
+        pairs = [(i, places[f]) for i, f in enumerate(self.features) if f in places]
+        kept = self.counts.join(F.broadcast(local_table(self.counts.sparkSession, pairs, "pos int, _to int")), "pos")
+        return ValueHistogram(kept.select(F.col("_to").alias("pos"), "value", "n"), list(features))
+
+    def sizes(self) -> list[tuple[int, float | None]]:
+        """Rows and spread of every feature, from the collapsed values."""
+        first = self.counts.groupBy("pos").agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        rows = {r["pos"]: r for r in first.collect()}
+        means = local_table(self.counts.sparkSession, [(i, r["mean"]) for i, r in rows.items()], "pos int, mean double")
+        around = self.counts.join(F.broadcast(means), "pos").groupBy("pos").agg(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("s"))
+        squares = {r["pos"]: r["s"] for r in around.collect()}
+        spread = lambda r: 0.0 if r["lo"] == r["hi"] else math.sqrt(squares[r["pos"]] / r["rows"])
+        return [(rows[i]["rows"], spread(rows[i])) if i in rows else (0, None) for i in range(len(self.features))]
+
+
+def value_histogram(df: DataFrame, features: Sequence[str]) -> ValueHistogram:
+    """Distinct finite values of each feature with their counts; one scan, stored."""
     pairs = F.array(*[F.struct(F.lit(i).alias("pos"), finite(c(f)).alias("value")) for i, f in enumerate(features)])
-    ref = side == "ref"
-    return df.select(F.inline(pairs)).where("value IS NOT NULL").select(
-        "pos", "value", F.lit(int(ref)).cast("long").alias("n_ref"), F.lit(int(not ref)).cast("long").alias("n_cur")
-    )
+    counts = df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("pos", "value").agg(F.count("*").alias("n"))
+    return ValueHistogram(stored(counts, "histogram"), list(features))
 
 
-def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(pos, value, n_ref, n_cur) over the distinct finite values of both sides.
+def _histogram(side: DataFrame | ValueHistogram, features: Sequence[str]) -> ValueHistogram:
+    return side.pick(features) if isinstance(side, ValueHistogram) else value_histogram(side, features)
 
-    Features go by position: a short key through every shuffle.
-    """
-    both = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
-    return both.groupBy("pos", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
+def two_sample_ecdf(reference: DataFrame | ValueHistogram, current: DataFrame | ValueHistogram, features: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Cumulative counts of both sides at each distinct value, and the next value."""
+    zero = F.lit(0).cast("long")
+    ref = _histogram(reference, features).counts.select("pos", "value", F.col("n").alias("n_ref"), zero.alias("n_cur"))
+    cur = _histogram(current, features).counts.select("pos", "value", zero.alias("n_ref"), F.col("n").alias("n_cur"))
+    values = ref.union(cur).groupBy("pos", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    placed = ordered_parts(values, ["pos", "value"], parts)
+    return prefix_sums(placed, ["pos"], "_part", ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, lead=("next_value", "value")).drop("_part")
 
-def value_ranges(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS, rows: int | None = None
-) -> DataFrame:
-    """(pos, bucket, lo, hi): half-open value ranges that cover the real line.
 
-    The borders are read once, from a row sample, and come back as constants, so
-    every use of them sees the same ones. They only balance the work: results are
-    exact for any borders.
-    """
-    part = lambda df: df.select(*[finite(c(f)).alias(f"v{i}") for i, f in enumerate(features)])
-    both = part(reference).unionByName(part(current))
-    rows = both.count() if rows is None else rows
-    if rows > BORDER_ROWS:
-        both = both.sample(fraction=BORDER_ROWS / rows, seed=config.SEED)
-    grid = [i / buckets for i in range(1, buckets)]
-    found = both.agg(*[F.percentile_approx(f"v{i}", grid, 10 * buckets) for i in range(len(features))]).first()
-    out = []
-    for i, borders in enumerate(found):
-        edges = [float("-inf"), *sorted(set(borders or [])), float("inf")]
-        out += [(i, k, lo, hi) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    return local_table(reference.sparkSession, out, "_p int, _bucket int, lo double, hi double")
-
-
-def two_sample_ecdf(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS, rows: int | None = None
-) -> DataFrame:
-    """Cumulative counts of both sides at each distinct value, and the next value."""
-    values = value_counts(reference, current, features)
-    ranges = value_ranges(reference, current, features, buckets, rows)
-    inside = (F.col("pos") == F.col("_p")) & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
-    placed = values.join(bounded(ranges, len(features) * buckets), inside).select("pos", "value", "n_ref", "n_cur", "_bucket")
-    return prefix_sums(
-        placed, ["pos"], "_bucket", ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"},
-        lead=("next_value", "value"), total_rows=len(features) * buckets,
-    ).drop("_bucket")
-
-
-def feature_distances(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = BUCKETS
-) -> DataFrame:
+def feature_distances(reference: DataFrame | ValueHistogram, current: DataFrame | ValueHistogram, features: Sequence[str], parts: int | None = None) -> DataFrame:
     """Sample sizes, KS statistic, Wasserstein distance and reference spread per feature.
 
     The sizes and spreads are one row per feature and are fitted first.
     """
-    present, spread = (lambda x: F.count(finite(x))), (lambda x: F.stddev_pop(finite(x)))
-    ref = wide_to_long(reference, features, {"n_ref": present, "spread": spread}).collect()
-    cur = {r["feature"]: r["n_cur"] for r in wide_to_long(current, features, {"n_cur": present}).collect()}
-    sizes = local_table(
-        reference.sparkSession,
-        [(r["pos"], r["feature"], r["n_ref"], r["spread"], cur[r["feature"]]) for r in ref],
-        "pos int, feature string, n_ref bigint, spread double, n_cur bigint",
-    )
-    largest = max((r["n_ref"] + cur[r["feature"]] for r in ref), default=0)
-    curve = two_sample_ecdf(reference, current, features, buckets, largest).drop("n_ref", "n_cur")
+    ref, cur = _histogram(reference, features), _histogram(current, features)
+    rows = [(i, f, n, spread, m) for i, (f, (n, spread), (m, _)) in enumerate(zip(features, ref.sizes(), cur.sizes()))]
+    sizes = local_table(ref.counts.sparkSession, rows, "pos int, feature string, n_ref bigint, spread double, n_cur bigint")
+    curve = two_sample_ecdf(ref, cur, features, parts).drop("n_ref", "n_cur")
     gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))
     distances = (
         curve.join(bounded(sizes.select("pos", "n_ref", "n_cur"), len(features)), "pos")
@@ -113,17 +110,27 @@ def feature_distances(
     return sizes.join(distances, "pos", "left")
 
 
-def ks_pvalue(d: float, n: int, m: int) -> float:
+def ks_series(statistic: Column, size: Column, terms: int = 100) -> Column:
+    """Chance of a one-sample statistic this large at a large size: the limiting series at a corrected argument."""
+    x = F.sqrt(size) * statistic
+    z = x + 1 / (6 * F.sqrt(size)) + (x - 1) / (4 * size)
+    sign = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + sign(k) * F.exp(-2.0 * k * k * z * z))
+    tail = F.when(size * statistic * statistic > 18, 2 * F.exp(-2.0 * size * statistic * statistic)).otherwise(2 * series)
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))
+    return F.when(statistic >= 1, 0.0).when(statistic <= 0, 1.0).otherwise(p)
+
+
+def ks_pvalue(d: float, n: int, m: int, exact_limit: int = EXACT_LIMIT) -> float:
     """Two-sided p-value of the two-sample KS statistic.
 
     Exact up to 10,000 rows per side; above, the one-sample law at the effective size.
     """
     if not (d > 0):
         return 1.0
-    if max(n, m) <= EXACT_LIMIT:
+    if max(n, m) <= exact_limit:
         return _exact_two_sample(d, n, m)
-    size = round(n * m / (n + m))
-    return _one_sample(d, size)
+    return _one_sample(d, round(n * m / (n + m)))
 
 
 def _exact_two_sample(d: float, n: int, m: int) -> float:
@@ -193,13 +200,21 @@ def _one_sample(d: float, n: int) -> float:
     return float(min(1.0, max(0.0, 1.0 - math.exp(log_cdf))))
 
 
-@F.pandas_udf(T.DoubleType())
-def ks_pvalue_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """p-values for the one-row-per-feature table; NULL where the KS test is not chosen."""
-    for d, n, m in batches:
-        yield pd.Series(
-            [ks_pvalue(float(x), int(a), int(b)) if pd.notna(x) else None for x, a, b in zip(d, n, m)], dtype="float64"
-        )
+def ks_pvalues(statistic: Column, n: Column, m: Column, exact_limit: int = EXACT_LIMIT, series_from: int = SERIES_FROM) -> Column:
+    """p-value of the two-sample statistic, NULL where that is.
+
+    Large samples are an expression. Only features of small samples, one row each, go to
+    the exact laws in a task.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def small(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for d, a, b in batches:
+            yield pd.Series([ks_pvalue(float(x), int(i), int(j), exact_limit) if pd.notna(x) else None for x, i, j in zip(d, a, b)], dtype="float64")
+
+    size = F.round(n * m / (n + m))
+    large = (F.greatest(n, m) > exact_limit) & (size > series_from)
+    return F.when(large, ks_series(statistic, size)).otherwise(small(F.when(~large, statistic), n, m))
 
 
 def chosen_test(stattest: str, small: int = config.DRIFT_SMALL_SAMPLE):
@@ -214,13 +229,15 @@ def feature_drift(
     stattest: str = "auto",
     pvalue: float = config.DRIFT_PVALUE,
     distance: float = config.DRIFT_DISTANCE,
+    exact_limit: int = EXACT_LIMIT,
+    series_from: int = SERIES_FROM,
 ) -> DataFrame:
     """Test, score, threshold and verdict per feature."""
     tested = distances.withColumn("test", chosen_test(stattest))
     ks, wass = F.col("test") == "ks", F.col("test") == "wasserstein"
     raw, spread = F.col("raw_distance"), F.col("spread")
     size = F.when(spread > 0, F.try_divide(raw, spread)).otherwise(F.when(raw == 0, 0.0).otherwise(F.lit(float("inf"))))
-    p = ks_pvalue_udf(F.when(ks, F.col("statistic")), F.col("n_ref"), F.col("n_cur"))
+    p = ks_pvalues(F.when(ks, F.col("statistic")), F.col("n_ref"), F.col("n_cur"), exact_limit, series_from)
     scored = tested.withColumn("score", F.when(ks, p).when(wass, size))
     verdict = F.when(ks, F.col("score") < pvalue).when(wass, F.col("score") > distance).otherwise(F.lit(False))
     return scored.select(
@@ -247,18 +264,20 @@ def top_drifted(per_feature: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def detect_drift(
-    reference: DataFrame,
-    current: DataFrame,
+    reference: DataFrame | ValueHistogram,
+    current: DataFrame | ValueHistogram,
     features: Sequence[str] | None = None,
     stattest: str = "auto",
     share: float = config.DRIFT_SHARE,
     pvalue: float = config.DRIFT_PVALUE,
     distance: float = config.DRIFT_DISTANCE,
-    buckets: int = BUCKETS,
+    parts: int | None = None,
+    exact_limit: int = EXACT_LIMIT,
+    series_from: int = SERIES_FROM,
 ) -> dict[str, DataFrame]:
-    """Compare two tables held in the same representation."""
-    names = shared_columns(reference, current, features)
-    per_feature = feature_drift(feature_distances(reference, current, names, buckets), stattest, pvalue, distance)
+    """Compare two tables held in the same representation; either may be a kept histogram."""
+    names = shared_columns(_named(reference), _named(current), features)
+    per_feature = feature_drift(feature_distances(reference, current, names, parts), stattest, pvalue, distance, exact_limit, series_from)
     return {
         "per_feature": per_feature,
         "verdict": drift_verdict(per_feature, share),
@@ -266,6 +285,13 @@ def detect_drift(
     }
 
 
+def _named(side: DataFrame | ValueHistogram) -> DataFrame:
+    """A frame with the columns of a side; a histogram has none of its rows."""
+    if isinstance(side, DataFrame):
+        return side
+    return local_table(side.counts.sparkSession, [], ", ".join(f"`{f}` double" for f in side.features))
+
+
 def reference_metadata(snapshot: DataFrame, features: Sequence[str], cls: str = "label_class") -> DataFrame:
     """Rows, feature count and class distribution of a snapshot; one row."""
     per_class = snapshot.groupBy(cls).agg(F.count("*").alias("n"))

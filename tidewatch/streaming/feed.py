@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import config
 from ..functions.numeric import ratio
 from ..functions.verdict import class_array, threat_level
-from ..operators.drift import detect_drift
+from ..operators.drift import ValueHistogram, detect_drift, value_histogram
 from ..operators.scoring import with_verdict
 from ..session import shared_dir
 from ..sources.flows import list_names
@@ -111,14 +111,17 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drift_sink(reference: DataFrame, features: Sequence[str], path: str, **thresholds) -> Callable[[DataFrame, int], None]:
-    """Drift verdict of every arriving batch against a stored reference."""
+def drift_sink(reference: DataFrame | ValueHistogram, features: Sequence[str], path: str, **thresholds) -> Callable[[DataFrame, int], None]:
+    """Drift verdict of every arriving batch against a reference.
+
+    The reference is counted once, when the sink is made, or comes as a kept histogram. A batch is read
+    once and merged with it.
+    """
+    known = reference if isinstance(reference, ValueHistogram) else value_histogram(reference, features)
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        verdict = detect_drift(reference, batch, features, **thresholds)["verdict"]
+        verdict = detect_drift(known, value_histogram(batch, features), features, **thresholds)["verdict"]
         verdict.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
 
     return check
 
