@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewatch import config
@@ -248,6 +249,54 @@ register(
 )
 
 
+def _files_feed(spark, sf, columns):
+    """Scored flows from four files, one a batch, as they arrive in two lots: (first lot, second lot, the stream)."""
+    rows = fx.scored(spark, sf).select(*columns)
+    folder = shared_dir(spark, "files")
+    lot = lambda k: rows.where(F.col("event_id") % 2 == k).repartition(2, "event_id").write.mode("append").parquet(folder)
+    return lambda: lot(0), lambda: lot(1), lambda: sources.read_feed(spark, folder, rows.schema, files_per_trigger=1)
+
+
+def _killed_and_resumed(spark, sf, columns, shape, keys):
+    """A feed whose second batch fails after its write, that is started again, and again when more files have come."""
+    first, second, stream = _files_feed(spark, sf, columns)
+    table, mark = feed.LatestByKey(spark, shared_dir(spark, "latest"), keys, every=2), shared_dir(spark, "mark")
+    failed = []
+
+    def handler(batch, batch_id):
+        table(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("the batch is lost after its write")
+
+    run = lambda: feed.drain_from(shape(stream()).writeStream.outputMode("update").foreachBatch(handler), mark)
+    first()
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    second()
+    run()
+    return table
+
+
+_SCORED = ["event_id", "user_id", "prediction", "is_attack", "truth"]
+register(
+    "stream_totals_upserted",
+    lambda s, d: _flat_stats(_killed_and_resumed(s, d, _SCORED, lambda rows: feed.session_stats(rows, ["user_id"]), ["user_id"]).current().withColumnRenamed("user_id", "session")),
+    sql(["scored"], _stats_sql("user_id")),
+)
+
+
+def recent_of_users(spark, sf):
+    """The five newest flows of every user, out of the query's own state."""
+    table = _killed_and_resumed(spark, sf, _SCORED, lambda rows: feed.recent_by_session(rows.drop("truth"), ["user_id"], "event_id", 5), ["user_id"])
+    return feed.recent_rows(table, "event_id long, prediction string, is_attack boolean")
+
+
+register("stream_recent_by_user", recent_of_users, sql(["scored"], """SELECT user_id, event_id, prediction, is_attack FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM scored) WHERE r <= 5"""))
+
+
 def scored_batches(spark, sf):
     path = shared_dir(spark, "scored")
     feed.drain_to_batches(_scored_feed(spark, sf).select("event_id", "prediction", "is_attack"), feed.batch_sink(path))

@@ -74,3 +74,43 @@ def test_drift_of_each_batch(spark, folder, tmp_path):
     feed.drain_to_batches(scored(spark, folder, 2).select("x"), feed.drift_sink(reference, ["x"], path))
     got = [r["drift_detected"] for r in spark.read.parquet(path).orderBy("batch").collect()]
     assert len(got) == 2 and got.count(True) == 1
+
+
+def test_only_changed_keys_are_written_and_folds_keep_the_table(spark, tmp_path):
+    """Update mode: batch k holds its own users; a batch run again, also at a fold, gives the same table; folded folders go."""
+    table = feed.LatestByKey(spark, str(tmp_path / "latest"), ["user"], every=2)
+    shape = "user string, n long"
+    want = {}
+    for k, rows in enumerate([[("a", 1), ("b", 1)], [("b", 2)], [("c", 1), ("a", 5)], [(None, 4)], [("b", 9)], [("d", 1)], [("a", 7)]]):
+        want |= dict(rows)
+        for _ in range(2 if k in (2, 4) else 1):
+            table(spark.createDataFrame(rows, shape), k)
+            assert {r["user"]: r["n"] for r in table.current().collect()} == want
+    assert table._numbers("folds") == [4, 6] and table._numbers("changes") == [5, 6]
+    assert spark.read.parquet(str(tmp_path / "latest/changes/batch=5")).count() == 1
+
+
+def test_recent_flows_of_two_sessions_with_eviction_and_restart(spark, tmp_path):
+    """Each session keeps its newest flows over a restart; one without flows for ten seconds is evicted."""
+    folder, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    shape = "session string, id long, ts timestamp, is_attack boolean"
+
+    def arrive(rows):
+        spark.createDataFrame([(s, i, t, i % 2 == 0) for s, i, t in rows], "session string, id long, t long, is_attack boolean").select(
+            "session", "id", F.timestamp_seconds("t").alias("ts"), "is_attack").coalesce(1).write.mode("append").parquet(folder)
+
+    table = feed.LatestByKey(spark, str(tmp_path / "latest"), ["session"])
+
+    def run():
+        stream = feed.recent_by_session(sources.read_feed(spark, folder, spark.createDataFrame([], shape).schema), ["session"], "id", 3, "ts", "10 seconds", "0 seconds")
+        feed.drain_from(stream.writeStream.outputMode("update").foreachBatch(table), mark)
+        rows = feed.recent_rows(table, "id long, is_attack boolean").collect()
+        return {s: sorted((r["id"] for r in rows if r["session"] == s), reverse=True) for s in {r["session"] for r in rows}}
+
+    arrive([("a", i, 100 + i) for i in range(5)] + [("b", 50 + i, 100) for i in range(2)])
+    assert run() == {"a": [4, 3, 2], "b": [51, 50]}
+    arrive([("a", 9, 112)])  # b's newest flow is now twelve seconds behind
+    arrive([("a", 8, 113)])
+    assert run() == {"a": [9, 8, 4]}
+    arrive([("b", 60, 114)])
+    assert run() == {"a": [9, 8, 4], "b": [60]}

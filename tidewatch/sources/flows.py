@@ -39,6 +39,12 @@ def list_names(spark: SparkSession, directory: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote and has replaced."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def read_manifest(
     spark: SparkSession, directory: str, manifest: Sequence[str] = config.MANIFEST
 ) -> tuple[DataFrame, dict[str, list[str]]]:

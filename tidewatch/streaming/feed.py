@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+import json
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import config
@@ -14,7 +19,7 @@ from ..functions.verdict import class_array, threat_level
 from ..operators.drift import ValueHistogram, detect_drift, value_histogram
 from ..operators.scoring import with_verdict
 from ..session import shared_dir
-from ..sources.flows import list_names
+from ..sources.flows import drop, list_names
 
 
 def score_feed(feed: DataFrame, probs: str = "probs", classes: Sequence[str] = config.CLASSES) -> DataFrame:
@@ -51,7 +56,11 @@ def session_stats(
 
 
 def timeline(scored: DataFrame, ts: str = "ts", width: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """Benign and attack counts per second. Works on a stream and on a table."""
+    """Benign and attack counts per second. Works on a stream and on a table.
+
+    On a stream in append mode rows that are later than ``late`` are not counted; in update or complete mode a
+    bucket stays open that long at least.
+    """
     rows = scored.withWatermark(ts, late) if scored.isStreaming else scored
     return (
         rows.groupBy(F.window(ts, width).alias("w"))
@@ -73,6 +82,92 @@ def trim_timeline(buckets: DataFrame, keep: int = 40, bucket: str = "bucket") ->
     return inner.drop("_first", "_last", "_n").orderBy(F.desc(bucket)).limit(keep)
 
 
+class LatestByKey:
+    """The newest row of every key, from an update-mode feed that hands on changed keys only.
+
+    Batch n writes its rows to a folder of its own, whole, so a batch that is run again after a failure gives the
+    same table, and costs its own keys however many there are in all. Every ``every`` batches the table is folded into one; the
+    folder folded from stays until the next fold, so a repeated fold finds it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], every: int = 20):
+        self.spark, self.path, self.keys, self.every = spark, path, list(keys), every
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+        if batch_id and batch_id % self.every == 0:
+            before = self._folds(batch_id)
+            self._upto(batch_id).write.mode("overwrite").parquet(f"{self.path}/folds/upto={batch_id}")
+            for k in before[:-1]:
+                drop(self.spark, f"{self.path}/folds/upto={k}")
+            for k in self._changes(-1, before[-1] if before else -1):
+                drop(self.spark, f"{self.path}/changes/batch={k}")
+
+    def _numbers(self, folder: str) -> list[int]:
+        """Numbers of the folders that were written to their end."""
+        names = [n for n in list_names(self.spark, f"{self.path}/{folder}") if "=" in n]
+        return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in list_names(self.spark, f"{self.path}/{folder}/{n}"))
+
+    def _folds(self, below: float) -> list[int]:
+        return [k for k in self._numbers("folds") if k < below]
+
+    def _changes(self, above: float, upto: float) -> list[int]:
+        return [k for k in self._numbers("changes") if above < k <= upto]
+
+    def _upto(self, batch_id: float) -> DataFrame:
+        fold = self._folds(batch_id)[-1:]
+        parts = [self.spark.read.parquet(f"{self.path}/folds/upto={k}").withColumn("_batch", F.lit(k).cast("long")) for k in fold]
+        parts += [self.spark.read.parquet(f"{self.path}/changes/batch={k}").withColumn("_batch", F.lit(k).cast("long"))
+                  for k in self._changes(fold[0] if fold else -1, batch_id)]
+        rows = reduce(DataFrame.unionByName, parts)
+        columns = [n for n in rows.columns if n != "_batch"]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
+        return newest.select(*[F.col(f"_row.{n}").alias(n) for n in columns])
+
+    def current(self) -> DataFrame:
+        """One row a key, as of the last batch."""
+        return self._upto(float("inf"))
+
+
+def recent_by_session(
+    scored: DataFrame, session: Sequence[str], order: str, size: int = 250, ts: str | None = None, keep: str = "1 hour", late: str = "10 seconds",
+) -> DataFrame:
+    """Update-mode feed of (session, rows): the newest ``size`` flows of each session that had any, as JSON, newest first.
+
+    The flows are kept in the query's state store, ``size`` a session. Where ``ts`` is given, a session whose
+    newest flow is ``keep`` older than the watermark, ``late`` behind the newest of all, is evicted and handed on without rows.
+    """
+    columns = [n for n in scored.columns if n not in session]
+    rows = scored.withWatermark(ts, late) if ts else scored
+    when = [F.unix_millis(ts).alias("_ms"), F.col(ts).alias("_ts")] if ts else [F.lit(0).cast("long").alias("_ms")]
+    wide = rows.select(*session, *when, F.col(order).alias("_order"), F.to_json(F.struct(*columns)).alias("_row"))
+    span = int(pd.Timedelta(keep).total_seconds() * 1000)
+    schema = ", ".join([*(f"{n} {wide.schema[n].dataType.simpleString()}" for n in session), "rows array<string>"])
+
+    def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            held = []
+        else:
+            held, last = ([tuple(x) for x in json.loads(state.get[0])], state.get[1]) if state.exists else ([], 0)
+            for part in parts:
+                held = heapq.nlargest(size, [*held, *zip(part["_order"].tolist(), part["_row"].tolist())])
+                last = max(last, int(part["_ms"].max()))
+            state.update((json.dumps(held), last))
+            if ts:
+                state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{n: [v] for n, v in zip(session, key)}, "rows": [[r for _, r in held]]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return wide.groupBy(*session).applyInPandasWithState(newest, schema, "held string, last long", "update", timeout)
+
+
+def recent_rows(latest: LatestByKey, schema: str) -> DataFrame:
+    """The flows that ``recent_by_session`` keeps, one row each; ``schema`` is that of the flows without the session."""
+    rows = latest.current().select(*latest.keys, F.explode("rows").alias("_json"))
+    return rows.select(*latest.keys, F.from_json("_json", schema).alias("_row")).select(*latest.keys, "_row.*")
+
+
 class RecentFlows:
     """The newest flows across micro-batches, as a table per batch in shared storage.
 
@@ -133,6 +228,11 @@ def drain(writer, spark: SparkSession) -> StreamingQuery:
     return query
 
 
+def drain_from(writer, mark: str) -> None:
+    """Run a feed over what is available since the checkpoint ``mark`` and stop; a restart goes on there."""
+    writer.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain_to_batches(feed: DataFrame, handler: Callable[[DataFrame, int], None]) -> None:
     drain(feed.writeStream.foreachBatch(handler), feed.sparkSession)
 
