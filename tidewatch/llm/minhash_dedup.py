@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded
 from .common import heavy_lookup, stored
 
 CHUNKS, WIDTH = 21, 6
@@ -261,8 +262,10 @@ def _far(bucket: DataFrame, stars: DataFrame, group: DataFrame, roots: DataFrame
     ``FEW`` far nodes, where the lowest bits of each symbol allow one of them. A pair shares up to ``SYMBOLS`` keys; it is
     taken at its first, and the distance is counted on the bit planes where a pair meets.
     """
-    others = bucket.where("rows > 2").join(stars, ["node", "leader"]).join(group, "node", "left").join(roots, "node", "left")
-    others = others.select("key", "node", "d", *PLANES, F.coalesce("group_id", "node").alias("group_id"), F.coalesce("root", "node").alias("root"))
+    # what is known of a node and a leader is put together before it meets the many keys they share
+    known = stars.join(group, "node", "left").join(roots, "node", "left")
+    known = stored(known.select("node", "leader", "d", *PLANES, F.coalesce("group_id", "node").alias("group_id"), F.coalesce("root", "node").alias("root")), "known")
+    others = bucket.where("rows > 2").select("key", "node", "leader").join(known, ["node", "leader"]).drop("leader")
     far = F.col("d") > RADIUS
     live = others.groupBy("key").agg(
         F.min(F.when(far, F.col("d"))).alias("least"), F.count_if(far).alias("n_far"), F.min("group_id").alias("g"), F.max("group_id").alias("h"),
@@ -349,10 +352,19 @@ def _within(size: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, linked: Column) -> DataFrame:
+def _texts(base: DataFrame, nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A lookup of (node, text) for the nodes wanted: a text of each node's smallest doc_id. Other texts are not moved."""
+
+    def of(wanted: DataFrame) -> DataFrame:
+        keys = stored(nodes.join(wanted.select("node").distinct(), "node").select("node", "first.*"), "wanted")
+        return base.join(bounded(keys, keys.count()), ["doc_id", "x", "y"]).select("node", "text").dropDuplicates(["node"])
+
+    return of
+
+
+def _confirmed(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], linked: Column) -> DataFrame:
     """The pairs of (a, b) whose full sets confirm the link."""
-    few = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    few = stored(few, "candidate-texts")
+    few = stored(texts(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "candidate-texts")
     full = pairs.join(few.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         few.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return full.where(linked).select("a", "b")
@@ -389,19 +401,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     compared = F.pandas_udf(_compared, "d int, " + ", ".join(f"{p} long" for p in PLANES))
     stars = stored(stars.select("node", "leader", compared("s", "t").alias("c")).select("node", "leader", "c.*"), "stars")
 
-    texts = base.join(nodes.select("node", "first.*"), ["doc_id", "x", "y"]).select("node", "text").dropDuplicates(["node"])
+    texts = _texts(base, nodes)
     linked = F.pandas_udf(_linked(size, percent), "boolean")("text_a", "text_b")
     near = stars.where(f"d <= {RADIUS}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = stored(_confirmed(near, texts, linked), "links")
     roots = stored(components(links), "roots")
     group = components(near.union(stored(_second(bucket, stars, sign), "near")), "groups").select("node", F.col("root").alias("group_id"))
     group = stored(group.union(group.select("group_id", "group_id").distinct()), "groups")
-    apart = _blocks(group, roots, one)
-    apart = stored(apart.join(one.select("node", "signature"), "node").join(texts, "node"), "blocks")
+    apart = stored(_blocks(group, roots, one), "apart")
+    apart = stored(apart.join(one.select("node", "signature"), "node").join(texts(apart), "node"), "blocks")
     inside = apart.groupBy("group_id", "i", "j").applyInPandas(_within(size, percent), "a long, b long")
     links = links.union(stored(inside, "links"))
     roots = stored(components(links, "roots"), "roots")
-    links = links.union(stored(_confirmed(_far(bucket, stars, group, roots, one), texts, linked), "links"))
+    links = links.union(stored(_confirmed(stored(_far(bucket, stars, group, roots, one), "met"), texts, linked), "links"))
     # the sets of one doc_id hang together; few ids have more than one
     member = heavy_lookup(named.select("doc_id", "digest"), nodes.select("digest", "node", "rows"), ["digest"], "rows")
     member = stored(member.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "members")
