@@ -14,6 +14,8 @@ from tidewatch.operators import attribution
 from tidewatch.operators.sampling import train_test_split
 from tidewatch.operators.scaling import Parameters, apply_scaler, fit_fills, fit_scaler
 from tidewatch.plans import analysis, training
+from tidewatch.plans.record import SweepRecord
+from tidewatch.session import shared_dir
 
 from . import fixtures as fx
 from .models import _stored
@@ -188,3 +190,40 @@ def _totals(spark, sf):
 register("export_analysis_totals", _totals, f"""WITH {_ruled}, {_credit}
 SELECT count(*) AS total_connections, count(*) FILTER (prediction <> 'BENIGN') AS total_attacks, round(count(*) FILTER (prediction <> 'BENIGN') / count(*), 6) AS attack_rate,
  1e0 AS accuracy, count(*) AS scored, 'Idle.Mean' AS top_feature, (SELECT round(avg(all_abs) / 8, 6) FROM credit WHERE pos = 1) AS top_mean_abs FROM ruled""")
+
+
+def recorded_sweep(spark, sf):
+    """A sweep that stops after a decision and before its pointer, and is started again; the log, and what is in force.
+
+    One split cannot tell the two attack classes apart, two can, a third adds nothing, and without the feature
+    that tells them apart the classes are missed again.
+    """
+    rows = ruled(spark, sf)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    one = {"trees": 1, "bootstrap": False}
+    configs = [
+        {"name": "one_split", "kind": "random_forest", "features": "full", "args": one | {"depth": 1}},
+        {"name": "two_splits", "kind": "random_forest", "features": "full", "args": one | {"depth": 2}},
+        {"name": "three_splits", "kind": "random_forest", "features": "full", "args": one | {"depth": 3}},
+        {"name": "best_feature", "kind": "random_forest", "features": "top1", "args": one | {"depth": 2}}]
+    ranking = [0.0, 1.0, 0.5, 0.0, 0.0]
+    path = shared_dir(spark, "sweep")
+
+    class Stopped(SweepRecord):
+        def _point(self, seq):
+            raise InterruptedError("stopped before the pointer")
+
+    try:
+        training.sweep(train, test, FEATURES, configs=configs, ranking=ranking, record=Stopped(spark, path))
+    except InterruptedError:
+        pass
+    record = SweepRecord(spark, path)
+    training.sweep(train, test, FEATURES, configs=configs, ranking=ranking, record=record)
+    force = record.serving().select(F.col("model").alias("in_force"), F.col("seq").alias("version"))
+    return record.log().select("seq", "challenger", "champion", "decision", (F.col("challenger_metrics.macro_f1") > 0.999999).alias("all_right"),
+                               F.col("champion_metrics.macro_f1").alias("champion_f1"), F.size("gates").cast("long").alias("gates")).crossJoin(F.broadcast(force))
+
+
+register("recorded_sweep", recorded_sweep, """SELECT * FROM (VALUES
+ (0, 'one_split', NULL, 'REJECTED', false, NULL, 3), (1, 'two_splits', NULL, 'PROMOTED', true, NULL, 3), (2, 'three_splits', 'two_splits', 'REJECTED', true, 1e0, 4),
+ (3, 'best_feature', 'two_splits', 'REJECTED', false, 1e0, 4)) t(seq, challenger, champion, decision, all_right, champion_f1, gates), (SELECT 'two_splits' AS in_force, 1 AS version) WHERE EXISTS (SELECT 1 FROM events)""")

@@ -117,6 +117,5 @@ DRIFT_DISTANCE = 0.10
 DRIFT_SMALL_SAMPLE = 1000
 REFERENCE_ROWS = 50_000
 
-MAX_SCORED_ROWS = 100_000
 MAX_RETURNED_ROWS = 20_000
 MAX_EXPLAINED_ROWS = 20_000

@@ -21,6 +21,7 @@ from ..operators.metrics import confusion_matrix, pair_counts, per_class, settle
 from ..operators.scaling import with_sample_weight
 from ..operators.scoring import with_verdict
 from ..session import local_table
+from .record import SweepRecord
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -172,14 +173,22 @@ def feature_sets(features: Sequence[str], scores: Sequence[float], unfiltered: S
 def sweep(
     train: DataFrame, test: DataFrame, features: Sequence[str], classes: dict[str, int] = config.CLASS_IDS,
     configs: Sequence[dict] = SWEEP, ranking: Sequence[float] | None = None, incumbent: tuple[str, float, float] | None = None,
+    record: SweepRecord | None = None,
 ) -> list[dict]:
     """Fit, evaluate and gate each configuration; each verdict sets the next incumbent.
 
     Every fit and evaluation is a distributed job. What reaches the driver is one
-    metrics row per configuration.
+    metrics row per configuration. With a ``record`` every decision is written as it falls, the serving set of a
+    promotion with it; a sweep that is started again goes on after the decisions recorded.
     """
     out = []
+    done = record.decided() if record else set()
+    if record:
+        record.recover()
+        incumbent = record.incumbent() or incumbent
     for i, cfg in enumerate(configs):
+        if cfg["name"] in done:
+            continue
         chosen = list(features)
         if cfg["features"].startswith("top"):
             if ranking is None:
@@ -195,6 +204,8 @@ def sweep(
         old = local_table(row.sparkSession, [(name, f1, fnr)] if name else [], "model string, macro_f1 double, mean_attack_fnr double")
         decided = decide(against(row.withColumn("champion", F.lit(name).cast("string")), old)).first()
         out.append({"config": cfg, "model": model, "features": chosen, "decision": decided, "train_seconds": seconds})
+        if record:
+            record.add(decided.asDict(), model, chosen)
         if decided["promoted"]:
             incumbent = (cfg["name"], decided["macro_f1"], decided["mean_attack_fnr"])
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -38,11 +39,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder. Only where nothing is set, as in
-    local tests, a temporary folder is chosen and remembered in the session.
+    ``spark.checkpoint.dir`` names that folder. Only where nothing is set and the session runs in one
+    process, as in tests, a temporary folder is chosen and remembered in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("tidewatch.scratch", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
