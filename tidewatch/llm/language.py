@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.02
 #: Windows that are looked at together.
 AT_ONCE = 256
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -128,6 +128,8 @@ def learn(docs: DataFrame, per_lang: int = ROWS_PER_LANG, rows: int = TRAIN_ROWS
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("r") <= per_lang)
     ids = ids.orderBy("r", "lang").limit(rows).select("doc_id", "lang", "place").distinct()
     sample = known.withColumn("place", place).join(F.broadcast(ids), ["doc_id", "lang", "place"])
+    # rows that repeat an id, language and length are one, so the bound on ids bounds the rows
+    sample = sample.groupBy("doc_id", "lang", "place").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = sample.select("text", "lang").mapInPandas(_sampled, "lang string, bytes binary").toPandas()
     if not len(got):
         return None
