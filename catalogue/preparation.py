@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tidewatch import config
 from tidewatch.functions import names
 from tidewatch.operators import preparing, quality, sampling, scaling
 from tidewatch.plans.preparation import FlowPreparer, prepare_training_tables, split_counts
+from tidewatch.session import shared_dir
 
 from . import fixtures as fx
 from .fixtures import finite_sql, ident, quoted, sql
@@ -307,6 +309,18 @@ register("prepared_without_leak", no_leak, sql(["features"], f"SELECT {', '.join
     + " FROM features f, p WHERE l_orderkey % 5 <> 0)"]))
 
 
+def reloaded(spark, sf):
+    """The same from a pipeline that was saved and loaded in a session of its own."""
+    rows = fx.features(spark, sf, key=True).withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+    path = shared_dir(spark, "preparer")
+    Pipeline(stages=[FlowPreparer(fx.LIVE, correlation=0.95)]).fit(rows.where("split = 'train'")).write().save(path)
+    model = PipelineModel.load(path)
+    return model.transform(rows).select(*fx.KEY, "split", *[F.round(names.c(n), 5).alias(names.canonical_key(n)) for n in model.stages[0].features])
+
+
+register("prepared_by_saved_pipeline", reloaded, SQL["prepared_without_leak"])
+
+
 def split_integrity(spark, sf):
     rows = fx.features(spark, sf, key=True).withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
     model = FlowPreparer(fx.LIVE, correlation=None).fit(rows.where("split = 'train'"))

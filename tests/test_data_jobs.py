@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tidewatch.functions import names
@@ -316,3 +317,21 @@ def test_report_and_odd_names_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).columns == ["Flow Bytes/s", "Idle.Mean"]
     sinks.write_flow_log(odd, str(tmp_path / "log"))
     assert next((tmp_path / "log").glob("part-*")).read_text().startswith("Flow Bytes/s,Idle.Mean")
+
+
+def test_preparer_survives_saving(spark, tmp_path):
+    """Estimator and fitted model come back from storage and give equal rows in another session."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    rows = [(float(a) if i % 7 else None, float(2 * a), float(b)) for i, (a, b) in enumerate(zip(x, rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "`Flow Bytes/s` double, `Idle.Mean` double, plain double")
+    stage = FlowPreparer(df.columns, "mean", 0.9, "standard", sketch=100)
+    stage.write().save(str(tmp_path / "stage"))
+    again = FlowPreparer.load(str(tmp_path / "stage"))
+    assert {p.name: again.getOrDefault(p) for p in again.params} == {p.name: stage.getOrDefault(p) for p in stage.params}
+    model = Pipeline(stages=[again]).fit(df)
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    assert loaded.stages[0].dropped == ["Idle.Mean"] and loaded.stages[0].parameters == model.stages[0].parameters
+    other = spark.newSession().createDataFrame(rows, df.schema)
+    assert loaded.transform(other).collect() == model.transform(df).collect()
