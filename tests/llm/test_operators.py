@@ -132,6 +132,28 @@ def test_spans_match_brute_force_and_are_cut_out(spark):
     assert passage in left[0] and all(passage not in left[i] for i in (3, 6, 9)) and left[1] == docs[1][1]
 
 
+def test_texts_are_cut_once_and_a_unit_of_many_rows_is_dealt_to_several_groups(spark, tmp_path, monkeypatch):
+    line = " ".join(f"word{k}" for k in range(30)) + "."
+    docs = [(i, f"alone {i} {'x' * (i % 7)} here.\n{line}\nlast of {i} all.", "s") for i in range(5, 400)] + [(9, line, "s"), (9, line, "s")]
+    cut, seen = substring_dedup._units, str(tmp_path / "seen")
+
+    def counted(parts):
+        def each():
+            for part in parts:
+                with open(seen, "a") as f:
+                    f.write(f"{len(part)}\n")
+                yield part
+        yield from cut(each())
+
+    monkeypatch.setattr(substring_dedup, "_units", counted)
+    spans = substring_dedup.repeated_spans(frame(spark, docs).repartition(3)).collect()
+    assert sum(map(int, open(seen))) == len(docs)
+    assert sorted(r["doc_id"] for r in spans) == sorted([9, *range(6, 400)]) and all(r["keep_doc_ids"] == [5] for r in spans)
+    assert all(docs[r["doc_id"] - 5][1][r["start_char"] : r["end_char"]].startswith(line[:-1]) for r in spans if r["doc_id"] != 9)
+    part = substring_dedup._dealt([0, 0, 0, 0, 1, 3] * 500, [b"0123456789abcdef"] * 500)
+    assert (part["salt"] == 0).sum() == substring_dedup.OFTEN and part["more"].sum() == 501 - substring_dedup.OFTEN
+
+
 def test_mix_gives_targets_to_the_word(spark):
     rng = random.Random(1)
     docs = [(i, "w " * rng.randint(0, 300), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(400)] + [(3, "w w", "a")] * 2

@@ -22,6 +22,10 @@ UNIT_WORDS = 3
 DIGEST_WORDS = 8
 #: A word in so many, by its hash, ends a unit: in any script, whatever stands around a passage.
 CUT_WORDS = 8
+#: Units in a table that a task hands on.
+CHUNK = 50_000
+#: Units of one digest in a table that stay together; further ones are dealt to so many groups.
+OFTEN, SALTS = 64, 64
 #: Units end at line ends and after marks that end a sentence.
 _BORDER = re.compile(r"\n+|(?<=[.!?\u0589\u061f\u06d4\u0964\u0965\u2026\u3002\uff01\uff1f])\s+")
 _WORD = re.compile(r"\w+")
@@ -42,6 +46,12 @@ _CUTS = Cuts()
 
 def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, number of words, two halves of a digest) of the units, which hold all words of the text."""
+    for start, end, words, digest in _digested(text):
+        yield start, end, words, *np.frombuffer(digest, np.int64).tolist()
+
+
+def _digested(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
+    """The units with the bytes of their digest."""
     if not text:
         return
     start, last = 0, []
@@ -56,22 +66,36 @@ def units(text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
             own = words[done:k]
             last = (last + own)[-DIGEST_WORDS:] if len(own) < DIGEST_WORDS else own
             digest = xxhash.xxh3_128_digest(" ".join(last).encode("utf-8", "surrogatepass"))
-            yield start, end if k == len(words) else found[k - 1].end(), len(own), *np.frombuffer(digest, np.int64).tolist()
+            yield start, end if k == len(words) else found[k - 1].end(), len(own), digest
             done = k
             start = found[k].start() if k < len(words) else start
         start = after
 
 
 def _units(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["doc_id", "row_id", "at", "start", "end", "words", "h", "k"]
+    rows, digests = [], []
     for part in parts:
-        rows = []
-        for doc, row, text in zip(part["doc_id"], part["row_id"], part["text"]):
-            rows.extend((doc, row, i, *u) for i, u in enumerate(units(text)))
-            if len(rows) > 50_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+        for doc, row, text in zip(part["doc_id"].tolist(), part["row_id"].tolist(), part["text"]):
+            for i, (start, end, words, digest) in enumerate(_digested(text)):
+                rows.extend((doc, row, i, start, end, words))
+                digests.append(digest)
+            if len(digests) > CHUNK:
+                yield _dealt(rows, digests)
+                rows, digests = [], []
+    yield _dealt(rows, digests)
+
+
+def _dealt(rows: list[int], digests: list[bytes]) -> pd.DataFrame:
+    """The units as a table, ``rows`` six numbers each. Those with a digest that was seen ``OFTEN`` times in it go to one of ``SALTS`` groups of that digest.
+
+    The other units of a digest are in its group 0, where the row before the first that left says that there are more groups.
+    """
+    out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, 6), columns=["doc_id", "row_id", "at", "start", "end", "words"])
+    out["h"], out["k"] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+    seen = out.groupby(["h", "k"]).cumcount()
+    out["salt"] = np.where(seen < OFTEN, 0, 1 + (out["doc_id"] + out["at"]) % SALTS)
+    out["more"] = seen >= OFTEN - 1
+    return out
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -90,12 +114,22 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("row_id", F.xxhash64("text"))
-    cut = base.mapInPandas(_units, "doc_id long, row_id long, at int, start int, `end` int, words int, h long, k long")
-    first = cut.groupBy("h", "k").agg(F.min(F.struct("doc_id", "at", "row_id")).alias("first"), F.max(F.struct("doc_id", "at", "row_id")).alias("last"))
-    first = first.where("first <> last").select("h", "k", "first")
-    again = cut.join(first, ["h", "k"]).where("not (doc_id = first.doc_id and at = first.at and row_id = first.row_id)")
-    again = stored(again.select("doc_id", "row_id", "at", "start", "end", "words", F.col("first.doc_id").alias("keep")).distinct(), "repeats")
+    cut = base.mapInPandas(_units, "doc_id long, row_id long, at int, start int, `end` int, words int, h long, k long, salt int, more boolean")
+    # One pass over the units: they meet in the groups of their digest, and only repeats and units of several groups go on.
+    group = Window.partitionBy("h", "k", "salt")
+    place, other = F.struct("doc_id", "at", "row_id"), "not (doc_id = first.doc_id and at = first.at and row_id = first.row_id)"
+    met = cut.withColumn("first", F.min(place).over(group)).withColumn("more", F.max("more").over(group))
+    met = stored(met.where(f"more or {other}").select(
+        "doc_id", "row_id", "at", "start", "end", "words", "first", "more", *[F.when(F.col("more"), F.col(n)).alias(n) for n in ("h", "k", "salt")]), "repeats")
+    # The first unit of a digest of several groups is the least of their first ones; it is handed to each group.
+    several = met.where("more")
+    firsts = several.groupBy("h", "k", "salt").agg(F.first("first").alias("first"))
+    least = firsts.withColumn("first", F.min("first").over(Window.partitionBy("h", "k")))
+    columns = ["doc_id", "row_id", "at", "start", "end", "words", F.col("first.doc_id").alias("keep")]
+    again = several.drop("first").join(least, ["h", "k", "salt"]).where(other).select(*columns).union(met.where("not more").select(*columns))
+    # Equal rows hold equal units, so those of a row are told apart by their place.
     inside = Window.partitionBy("doc_id", "row_id").orderBy("at")
+    again = again.repartition("doc_id", "row_id").dropDuplicates(["doc_id", "row_id", "at"])
     runs = again.withColumn("run", F.col("at") - F.row_number().over(inside))
     spans = runs.groupBy("doc_id", "row_id", "run").agg(
         F.min("start").alias("start_char"), F.max("end").alias("end_char"), F.sum("words").alias("n_words"),
