@@ -114,3 +114,38 @@ def test_recent_flows_of_two_sessions_with_eviction_and_restart(spark, tmp_path)
     assert run() == {"a": [9, 8, 4]}
     arrive([("b", 60, 114)])
     assert run() == {"a": [9, 8, 4], "b": [60]}
+
+
+def test_sessions_that_share_an_entry_of_the_state_are_kept_and_evicted_apart(spark, tmp_path):
+    """All sessions in one entry, two keys of which one is null or has microseconds; after a restart, too."""
+    folder, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    big, now = 2**60 + 1, "2024-01-01 00:00:00.123456"
+    a, b, none = (big, now), (big + 1, now), (None, None)
+
+    def arrive(rows):
+        spark.createDataFrame([(*s, i, t) for s, i, t in rows], "user long, began string, id long, t long").select(
+            "user", F.to_timestamp("began").alias("began"), "id", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+
+    batches = []
+
+    def run():
+        rows = sources.read_feed(spark, folder, spark.read.parquet(folder).schema)
+        stream = feed.recent_by_session(rows, ["user", "began"], "id", 2, "ts", "10 seconds", "0 seconds", groups=1)
+        assert stream.dtypes == [("user", "bigint"), ("began", "timestamp"), ("rows", "array<string>")]
+
+        def keep(batch, _):
+            flat = batch.select("user", F.col("began").cast("string"), F.transform("rows", lambda r: F.get_json_object(r, "$.id").cast("int")).alias("ids"))
+            if got := {(r[0], r[1]): r[2] for r in flat.collect()}:
+                batches.append(got)
+
+        feed.drain_from(stream.writeStream.outputMode("update").foreachBatch(keep), mark)
+
+    arrive([(a, i, 100) for i in range(4)] + [(b, 7, 101), (none, 8, 108), (none, 9, 108)])
+    run()
+    assert batches == [{a: [3, 2], b: [7], none: [9, 8]}]
+    arrive([(a, 1, 112)])  # b has had no flow for eleven seconds, and a's newest flows stay
+    run()
+    assert batches[1:] == [{a: [3, 2]}, {b: []}]
+    arrive([(b, 5, 113)])
+    run()
+    assert batches[3:] == [{b: [5]}]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +23,9 @@ from ..operators.scoring import with_verdict
 from ..session import shared_dir
 from ..sources.flows import drop, list_names
 
+#: Entries of the state store that the sessions of a feed are dealt to.
+SESSION_GROUPS = 1024
+
 
 def score_feed(feed: DataFrame, probs: str = "probs", classes: Sequence[str] = config.CLASSES) -> DataFrame:
     """Row-wise verdicts: the batch function on a streaming frame."""
@@ -131,35 +136,55 @@ class LatestByKey:
 
 def recent_by_session(
     scored: DataFrame, session: Sequence[str], order: str, size: int = 250, ts: str | None = None, keep: str = "1 hour", late: str = "10 seconds",
+    groups: int = SESSION_GROUPS,
 ) -> DataFrame:
     """Update-mode feed of (session, rows): the newest ``size`` flows of each session that had any, as JSON, newest first.
 
     The flows are kept in the query's state store, ``size`` a session. Where ``ts`` is given, a session whose
     newest flow is ``keep`` older than the watermark, ``late`` behind the newest of all, is evicted and handed on without rows.
+
+    Sessions are dealt by hash to ``groups`` entries of the store, since each call of Python costs as much as
+    thousands of flows. An entry is read and written whole when any session of it has flows, so many millions of sessions need more.
     """
     columns = [n for n in scored.columns if n not in session]
     rows = scored.withWatermark(ts, late) if ts else scored
     when = [F.unix_millis(ts).alias("_ms"), F.col(ts).alias("_ts")] if ts else [F.lit(0).cast("long").alias("_ms")]
-    wide = rows.select(*session, *when, F.col(order).alias("_order"), F.to_json(F.struct(*columns)).alias("_row"))
+    whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    key = F.to_json(F.struct(*session), whole) if session else F.lit("{}")
+    wide = rows.select(key.alias("_key"), *when, F.col(order).alias("_order"), F.to_json(F.struct(*columns)).alias("_row"))
+    wide = wide.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
     span = int(pd.Timedelta(keep).total_seconds() * 1000)
-    schema = ", ".join([*(f"{n} {wide.schema[n].dataType.simpleString()}" for n in session), "rows array<string>"])
 
-    def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            held = []
-        else:
-            held, last = ([tuple(x) for x in json.loads(state.get[0])], state.get[1]) if state.exists else ([], 0)
-            for part in parts:
-                held = heapq.nlargest(size, [*held, *zip(part["_order"].tolist(), part["_row"].tolist())])
-                last = max(last, int(part["_ms"].max()))
-            state.update((json.dumps(held), last))
+    def newest(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {}
+        fresh, seen = defaultdict(list), {}
+        for part in [] if state.hasTimedOut else parts:
+            for k, x, row, ms in zip(part["_key"].tolist(), part["_order"].tolist(), part["_row"].tolist(), part["_ms"].tolist()):
+                fresh[k].append((x, row))
+                if ts:
+                    seen[k] = max(seen.get(k, 0), int(ms))
+        out = {}
+        for k, flows in fresh.items():
+            held, last, _ = known.get(k, ([], 0, 0))
+            held, last = heapq.nlargest(size, [*map(tuple, held), *flows]), max(last, seen.get(k, 0))
+            known[k] = held, last, max(last + span, state.getCurrentWatermarkMs() + 1) if ts else 0
+            out[k] = [r for _, r in held]
+        if ts:
+            for k in [k for k, (_, _, due) in known.items() if k not in fresh and due < state.getCurrentWatermarkMs()]:
+                del known[k]
+                out[k] = []
+        if known:
+            state.update((json.dumps(known),))
             if ts:
-                state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{n: [v] for n, v in zip(session, key)}, "rows": [[r for _, r in held]]})
+                state.setTimeoutTimestamp(min(due for _, _, due in known.values()))
+        else:
+            state.remove()
+        yield pd.DataFrame({"_key": list(out), "rows": list(out.values())})
 
     timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
-    return wide.groupBy(*session).applyInPandasWithState(newest, schema, "held string, last long", "update", timeout)
+    found = wide.groupBy("_group").applyInPandasWithState(newest, "_key string, rows array<string>", "held string", "update", timeout)
+    schema = T.StructType([scored.schema[n] for n in session])
+    return found.select(F.from_json("_key", schema, whole).alias("_key"), "rows").select(*[F.col("_key")[n].alias(n) for n in session], "rows")
 
 
 def recent_rows(latest: LatestByKey, schema: str) -> DataFrame:
