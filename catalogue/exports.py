@@ -42,7 +42,9 @@ def json_documents(spark, sf):
     for form, (head, tail) in _FORMS.items():
         path = shared_dir(spark, f"flows-{form}") + ".json"
         body = F.concat(F.lit(head), F.array_join(F.collect_list("record"), ","), F.lit(tail)).alias("value")
-        rows.groupBy("part").agg(body).write.partitionBy("part").text(path)
+        # A file each, all in one folder that is listed at once; tasks put their files in place themselves.
+        files = rows.groupBy("part").agg(body).select("value").write.option("maxRecordsPerFile", 1)
+        files.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
         parts.append(sources.read_export(spark, path).select(F.lit(form).alias("form"), "event_id", "value", "event_type"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -335,3 +335,29 @@ def test_preparer_survives_saving(spark, tmp_path):
     assert loaded.stages[0].dropped == ["Idle.Mean"] and loaded.stages[0].parameters == model.stages[0].parameters
     other = spark.newSession().createDataFrame(rows, df.schema)
     assert loaded.transform(other).collect() == model.transform(df).collect()
+
+
+def test_json_documents_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    from catalogue import exports
+
+    spark.range(2500).selectExpr("id AS event_id", "id / 2 AS value", "concat('kind ', id % 3) AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(exports, "shared_dir", lambda _, purpose: str(tmp_path / "shared" / purpose))
+    got = exports.json_documents(spark, str(tmp_path)).groupBy("form").agg(F.count("*"), F.countDistinct("event_id"), F.sum("value"))
+    assert sorted(map(tuple, got.collect())) == [(form, 2500, 2500, 2499 * 625.0) for form in ("array", "flows", "records")]
+    folders = list((tmp_path / "shared").glob("flows-*.json"))
+    assert len(folders) == 3 and all(len([f for f in d.glob("part-*") if f.stat().st_size]) == 3 and not list(d.glob("part=*")) for d in folders)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16-le"])
+def test_documents_of_many_lines_in_a_folder(spark, tmp_path, encoding):
+    folder = tmp_path / "x.json"
+    folder.mkdir()
+    for k, rows in enumerate([[{"id": 1}, {"id": 2, "v": "ä"}], [{"id": 2.5}], [{"id": 4, "w": True}]]):
+        (folder / f"{k}.json").write_text(json.dumps({"meta": k, "flows": rows}, indent=2, ensure_ascii=False), encoding=encoding)
+    got = sources.read_export(spark, str(folder))
+    assert dict(got.dtypes) == {"id": "double", "v": "string", "w": "boolean"}
+    assert sorted((r["id"], r["v"], r["w"]) for r in got.collect() if r["id"] != 1) == [(2.0, "ä", None), (2.5, None, None), (4.0, None, True)]
+    assert sources._many_texts(spark, str(folder)) == (encoding == "utf-8")
+    if encoding == "utf-8":
+        schema = sources._schema_of_documents(spark, str(folder))
+        assert schema == spark.read.option("multiLine", True).json(str(folder)).schema

@@ -127,6 +127,25 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, sep=sep, header=True, escape='"').toDF(*names)
 
 
+def _many_texts(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder of documents in UTF-8 without a mark; only the reader of files tells other encodings."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).isFile():
+        return False
+    other = F.col("value").contains("\0") | F.col("value").startswith("\ufeff")
+    return spark.read.text(path, wholetext=True).where(other).isEmpty()
+
+
+def _schema_of_documents(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of all documents in a folder.
+
+    The reader of files puts up to 128 MB of documents in a task to find it. As texts, they are dealt
+    to tasks with the cost of opening each, as when they are read.
+    """
+    texts = spark.read.text(path, wholetext=True).select("value")
+    return spark.read.json(texts.rdd.map(lambda r: r[0])).schema
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array, records under a known key, or a single record.
 
@@ -134,7 +153,8 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     many files or as newline-delimited JSON. An object of equal-length columns is
     one record, as it is on upload.
     """
-    df = spark.read.option("multiLine", True).json(path)
+    reader = spark.read.option("multiLine", True)
+    df = (reader.schema(_schema_of_documents(spark, path)) if _many_texts(spark, path) else reader).json(path)
     for key in RECORD_KEYS:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType):
             return df.select(F.explode(c(key)).alias("_r")).select("_r.*")
